@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import harmonic, hilbert, sst
+from . import harmonic, hilbert, setsketch, sst
 from .common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,28 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=0.8)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM words),
+grams AS (SELECT doc_id, hash(unnest(s)) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sets sa ON sa.doc_id = a.doc_id JOIN sets sb ON sb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, len(sa.s), len(sb.s)
+  HAVING 100 * count(*) >= 80 * (len(sa.s) + len(sb.s) - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.y) AS component_id, s.doc_id = min(r.y) AS kept
+FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
+
 OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
@@ -43,5 +65,5 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_sst_shards, op2_hilbert_shards, op6_exact_dedup, op9_harmonic_packing)}
-ORACLES = {"op6_exact_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_sst_shards, op2_hilbert_shards, op4_setsketch_dedup, op6_exact_dedup, op9_harmonic_packing)}
+ORACLES = {"op4_setsketch_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL}
