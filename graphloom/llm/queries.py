@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import harmonic, hilbert, setsketch, sst
+from . import collision_ann, harmonic, hilbert, setsketch, sst, url_filter
 from .common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,5 +65,37 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_sst_shards, op2_hilbert_shards, op4_setsketch_dedup, op6_exact_dedup, op9_harmonic_packing)}
+def op3_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = collision_ann.collision_search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+SEEDS = ["adult", "ads", "bets", "casino", "pills", "spam", "porn", "viagra"]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.url_filter(pages, RULES, url_filter.word_counts(pages, "html"), SEEDS)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sst_shards,
+        op2_hilbert_shards,
+        op3_collision_ann,
+        op4_setsketch_dedup,
+        op5_url_filter,
+        op6_exact_dedup,
+        op9_harmonic_packing,
+    )
+}
 ORACLES = {"op4_setsketch_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL}
