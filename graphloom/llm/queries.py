@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import collision_ann, harmonic, hilbert, setsketch, sst, url_filter
+from . import collision_ann, compact_windows, harmonic, hilbert, langid, raking, setsketch, sst, url_filter
 from .common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -86,6 +86,32 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, RULES, url_filter.word_counts(pages, "html"), SEEDS)
 
 
+MIX_BUDGET, MIX_POWERS = 0.6, {"source": 0.7, "lang": 0.7, "topic": 0.9}
+
+
+def op7_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mix(table(spark, sf_dir, "documents"), MIX_BUDGET, MIX_POWERS)
+
+
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    host = url_filter.host_of(F.col("url"))
+    html = F.coalesce(F.col("html"), F.lit(""))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id",
+        langid.visible_text(html).alias("text"),
+        langid.declared_language(html).alias("declared"),
+        F.element_at(F.split(host, "[.]"), -1).alias("suffix"),
+        F.array_join(F.slice(F.split(host, "[.]"), F.greatest(F.size(F.split(host, "[.]")) - 1, F.lit(1)), F.lit(2)), ".").alias("domain"),
+        host.alias("host"),
+    )
+    return langid.identify(pages, model)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,7 +121,10 @@ QUERIES = {
         op4_setsketch_dedup,
         op5_url_filter,
         op6_exact_dedup,
+        op7_raked_mixture,
+        op8_compact_windows,
         op9_harmonic_packing,
+        op10_language_fusion,
     )
 }
 ORACLES = {"op4_setsketch_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL}
