@@ -15,6 +15,10 @@ def _near(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, EDITS) >= 0
 
 
+def _near_to(term: Column):
+    return lambda word: _near(word, term)
+
+
 def score_nodes(graph: PropertyGraph, query: str) -> DataFrame:
     """(id, label, score), best first: for each term of the query 10 for the whole label, else 5
     for its start, 2 for a part of it, 1 for a word within two edits; 1 more if the file name
@@ -33,7 +37,7 @@ def score_nodes(graph: PropertyGraph, query: str) -> DataFrame:
     score = F.lit(0)
     for t in terms:
         term = F.lit(t)
-        word = F.exists(F.filter(F.split("clean", "[_./-]"), lambda w: w != ""), lambda w, term=term: _near(w, term))
+        word = F.exists(F.filter(F.split("clean", "[_./-]"), lambda w: w != ""), _near_to(term))
         fuzzy = word | ((F.octet_length("clean") <= 20) & _near(F.col("clean"), term))
         by_label = F.when(F.col("clean") == term, 10).when(F.col("clean").startswith(term), 5).when(F.col("norm").contains(term), 2).when(fuzzy, 1).otherwise(0)
         score = score + by_label + F.col("file").contains(term).cast("int")
