@@ -74,7 +74,8 @@ def word_count(text: Column) -> Column:
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path relative to ``root``, content, text; text is null where the bytes aren't UTF-8) of every
-    file. Listing, reading and decoding are Spark's, so any file system will do."""
+    file. Listing, reading and decoding are Spark's, so any file system will do; Spark's listing
+    leaves out names that begin with a dot or an underscore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^file:/*", "/", root.rstrip("/"))
     plain = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
