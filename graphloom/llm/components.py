@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") / 2)).first())
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, or only edges from larger ones."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,11 +36,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     aggregated before the shuffle and their join is split by adaptive execution.
     """
     edges = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(edges)
-    while True:
-        edges = materialize(_small(_large(edges).distinct()).distinct(), "edges")
-        new = _state(edges)
-        if new == state:
-            break
-        state = new
+    while not _is_star_forest(edges):
+        edges = materialize(_small(_large(edges)).distinct(), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def near_labels(edges: DataFrame) -> DataFrame:
+    """``node, component``: for every node of ``edges`` one that is connected to it, found in two steps
+    to the smallest neighbour. Equal labels mean connected nodes; different ones mean nothing."""
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
+    first = materialize(first, "first-labels")
+    second = first.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    return first.join(second, "label").select("node", F.least("label", "further").alias("component"))
+

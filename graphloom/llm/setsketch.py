@@ -8,8 +8,10 @@ a candidate pair is estimated by maximum likelihood from the numbers of register
 either is larger and the known set sizes; what passes is verified on the full sets.
 
 No pair of a large bucket needs to be written: members are first compared with a few
-centres of their bucket, components are contracted, and only documents of different
-components are compared further, block by block, inside tasks.
+centres of their bucket (the same few in all buckets of a group), components are contracted,
+and only documents of different components are compared further, block by block, inside
+tasks: first the likeliest links of each to each component, then, components contracted again,
+all that are left.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .components import connected_components
+from .components import connected_components, near_labels
 from .shingles import mix, shingle_set
 
 #: Registers, rows of a band, base, rate, largest register value. A pair of similarity 0.8
 #: shares no band with probability (1 - 0.8**6)**40 = 5e-6.
 M, ROWS, BASE, RATE, TOP = 240, 6, 1.001, 20.0, 65535
 BANDS = M // ROWS
-CENTRES, BLOCK = 4, 1024
+CENTRES, LIKELIEST, PROBED, SMALL, BLOCK = 4, 3, 4, 64, 4096
 #: Standard errors of the estimate by which a pair may fall short and still be verified.
 SLACK = 4.0
 
@@ -83,10 +85,17 @@ def estimate(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.n
     return (low + high) / 2
 
 
-def passes(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs (rows of registers) may reach the threshold."""
-    j = estimate((regs_a > regs_b).sum(axis=1), (regs_a < regs_b).sum(axis=1), n_a.astype(float), n_b.astype(float))
-    return j >= threshold - SLACK * (threshold * (1 - threshold) / M) ** 0.5
+def estimates(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Estimates of the pairs (rows of registers) that may reach the threshold, 0 for others. Where
+    even the share of equal registers falls short by one error more, nothing is fitted."""
+    error = (threshold * (1 - threshold) / M) ** 0.5
+    out = np.zeros(len(regs_a))
+    near = np.flatnonzero((regs_a == regs_b).mean(axis=1) >= threshold - (SLACK + 1) * error)
+    if len(near):
+        a, b = regs_a[near], regs_b[near]
+        j = estimate((a > b).sum(axis=1), (a < b).sum(axis=1), n_a[near].astype(float), n_b[near].astype(float))
+        out[near] = np.where(j >= threshold - SLACK * error, j, 0.0)
+    return out
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -140,7 +149,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
             if not t.num_rows:
                 continue
             ra, rb = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint16).reshape(-1, M) for k in (3, 5))
-            ok = pa.array(passes(ra, rb, t.column(2).to_numpy(), t.column(4).to_numpy(), threshold))
+            ok = pa.array(estimates(ra, rb, t.column(2).to_numpy(), t.column(4).to_numpy(), threshold) > 0)
             yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], ["a", "b"])
 
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}"))
@@ -168,9 +177,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(rows, "a long, b long")
 
 
-def _block_pairs(threshold: float):
+def _block_pairs(threshold: float, most: int | None):
     """For one bucket's pair of blocks: pairs of different components that share no earlier
-    band and pass the joint estimate."""
+    band and pass the joint estimate; of a document and a component, the ``most`` likeliest."""
 
     def pairs(pdf):
         import pandas as pd
@@ -185,31 +194,49 @@ def _block_pairs(threshold: float):
             other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if lo == hi else True)]
             if not len(other):
                 continue
-            same = (regs[other] == regs[i]).reshape(len(other), BANDS, ROWS)[:, :band].all(axis=2).any(axis=1)
-            other = other[~same]
+            j = estimates(np.broadcast_to(regs[i], (len(other), M)), regs[other], np.full(len(other), n[i]), n[other], threshold)
+            other, j = other[j > 0], j[j > 0]
             if len(other):
-                ok = other[passes(np.broadcast_to(regs[i], (len(other), M)), regs[other], np.full(len(other), n[i]), n[other], threshold)]
-                found.append(np.stack([np.full(len(ok), node[i]), node[ok]]))
+                same = (regs[other, : band * ROWS] == regs[i, : band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
+                other, j = other[~same], j[~same]
+            if most and len(other) > most:
+                order = np.lexsort((node[other], -j))
+                place = pd.Series(comp[other][order]).groupby(comp[other][order]).cumcount().to_numpy()
+                other = other[order[place < most]]
+            found.append(np.stack([np.full(len(other), node[i]), node[other]]))
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"a": a, "b": b})
 
     return pairs
 
 
-def _rest(banded: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+def _rest(banded: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float, most: int | None) -> DataFrame:
     """Estimated pairs across components, of every bucket that holds more than one component.
 
-    A bucket's members are dealt into blocks of about BLOCK; a task compares two blocks.
+    Pairs of a bucket of up to SMALL come from a join; a larger one is dealt into blocks of
+    about BLOCK, and a task compares two blocks. With ``most`` only larger buckets of the first
+    bands are looked at, and only the ``most`` likeliest links of a document to a component given.
     """
     named = banded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("c0 != c1").select("key", "blocks")
+    named = named.filter(F.col("band") < PROBED) if most else named
+    size = F.count(F.lit(1))
+    mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), size.alias("n"), F.ceil(size / BLOCK).cast("int").alias("blocks")).filter("c0 != c1").select("key", "n", "blocks")
+    dealt = named.join(mixed, "key")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = named.join(mixed, "key").withColumn("block", block)
-    shared = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "band", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    shared = (
+        dealt.filter(F.col("n") > SMALL)
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "band", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
     full = shared.join(nodes.select("node", "n_shingles", "regs", "set_key"), "node")
-    return full.groupBy("key", "lo", "hi").applyInPandas(_block_pairs(threshold), "a long, b long")
+    large = full.groupBy("key", "lo", "hi").applyInPandas(_block_pairs(threshold, most), "a long, b long")
+    if most:
+        return large.distinct()
+    few = dealt.filter(F.col("n") <= SMALL)
+    side = lambda k: few.select("key", F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+    pairs = side("a").join(side("b"), "key").filter("a < b AND c_a != c_b").select("a", "b").distinct()
+    return large.unionByName(_estimated(pairs, nodes, threshold)).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -228,18 +255,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = seen.filter("set_key is not null").join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"]).withColumnRenamed("doc_id", "node")
     nodes = materialize(nodes, "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    priority = [F.min(F.struct(F.xxhash64(F.col("node"), F.lit(k), F.col("key")).alias("h"), "node"))["node"] for k in range(CENTRES)]
+    priority = [F.min(F.struct(F.xxhash64(F.col("node"), F.lit(k)).alias("h"), "node"))["node"] for k in range(CENTRES)]
     centres = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*priority).alias("centres")).filter("n > 1").drop("n")
     shared = materialize(banded.join(centres, "key"), "buckets")
     stars = shared.select("node", F.explode("centres").alias("centre")).filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     sets = materialize(_full_sets(docs, doc_id, text, shared.select("node").distinct(), width), "sets")
     links = materialize(_verified(_estimated(stars, nodes, threshold), sets, threshold), "links")
     copies = seen.filter("set_key is not null and doc_id is not null").join(classes.filter("node != most"), "set_key").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    labels = materialize(connected_components(links), "labels")
-    more = materialize(_verified(_rest(shared.select("key", "band", "node"), nodes, labels, threshold), sets, threshold), "links")
+    for most in (LIKELIEST, None):  # first the likeliest link to each component, then, across what is left, all
+        labels = materialize(near_labels(links), "labels")
+        more = _verified(_rest(shared.select("key", "band", "node"), nodes, labels, threshold, most), sets, threshold)
+        links = materialize(links.unionByName(more), "links")
     # copies hang on their class, so only ids that stand for several classes need their rows here
     several = seen.filter("set_key is not null and doc_id is not null").select("doc_id", "set_key").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("a"))
-    final = connected_components(links.unionByName(more).unionByName(copies.join(several, "a", "left_semi").select("a", "b")))
+    final = connected_components(links.unionByName(copies.join(several, "a", "left_semi").select("a", "b")))
     rows = seen.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "node"), "set_key", "left").join(final, "node", "left")
     named = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return rows.select("doc_id", "n_shingles", named.alias("component_id"), F.coalesce(F.col("doc_id") == named, F.lit(True)).alias("kept"))

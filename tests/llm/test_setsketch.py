@@ -56,6 +56,7 @@ def test_equals_brute_force(spark):
 
 def test_hot_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(setsketch, "BLOCK", 16)
+    monkeypatch.setattr(setsketch, "SMALL", 4)
     rng = np.random.default_rng(3)
     base = ["w%d" % k for k in range(120)]
     rows = []
