@@ -93,6 +93,25 @@ def op7_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mix(table(spark, sf_dir, "documents"), MIX_BUDGET, MIX_POWERS)
 
 
+def _op7_sql() -> str:
+    """The same fit as a chain of steps, one for each dimension and pass."""
+    topic = " ".join(f"WHEN {' OR '.join(f'contains(lower(t), \'{p}\')' for p in phrases)} THEN '{name}'" for name, phrases in raking.TOPICS)
+    out = [
+        f"""docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topic} ELSE 'general' END AS topic,
+          greatest(strlen(t) // 4, 1)::BIGINT AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
+        "cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL)",
+    ]
+    for dim, power in MIX_POWERS.items():
+        out.append(f"t_{dim} AS (SELECT {dim}, pow(t, {power}) / sum(pow(t, {power})) OVER () * sum(t) OVER () * {MIX_BUDGET} AS target FROM (SELECT {dim}, sum(tokens) AS t FROM cells GROUP BY {dim}))")
+    out.append("w0 AS (SELECT *, 1.0::DOUBLE AS weight FROM cells)")
+    steps = [d for _ in range(raking.PASSES) for d in MIX_POWERS]
+    for i, dim in enumerate(steps):
+        out.append(f"w{i + 1} AS (SELECT source, lang, topic, tokens, weight * (target / sum(tokens * weight) OVER (PARTITION BY {dim})) AS weight FROM w{i} JOIN t_{dim} USING ({dim}))")
+    return f"""WITH {", ".join(out)} SELECT doc_id, source, lang, topic, d.tokens, round(weight, 6) AS weight, round(least(weight, 1), 6) AS probability,
+      ('0x' || left(md5('mix:' || coalesce(doc_id::VARCHAR, chr(0)) || ':' || d.tokens), 13))::BIGINT / 4503599627370496::DOUBLE < least(weight, 1) AS kept
+      FROM docs d JOIN w{len(steps)} w USING (source, lang, topic)"""
+
+
 def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -127,4 +146,4 @@ QUERIES = {
         op10_language_fusion,
     )
 }
-ORACLES = {"op4_setsketch_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLES = {"op4_setsketch_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_raked_mixture": _op7_sql()}
