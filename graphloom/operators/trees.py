@@ -328,4 +328,4 @@ def edit_distance(a: DataFrame, b: DataFrame, semantic: bool = False) -> DataFra
 
     if not na + nb:
         return a.sparkSession.createDataFrame([(0, 1.0, True)], "distance long, similarity double, exact boolean")
-    return both.groupBy(F.lit(0)).applyInPandas(solve, "distance long, similarity double, exact boolean")
+    return both.groupBy(F.lit(0).alias("_one")).applyInPandas(solve, "distance long, similarity double, exact boolean")
