@@ -35,7 +35,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     rounds grow with the logarithm of the longest path. Nodes with very many neighbours are
     aggregated before the shuffle and their join is split by adaptive execution.
     """
-    edges = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    labels, left = contracted(edges.filter("a != b"))
+    whole = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(left).filter("a != b")
+    edges = materialize(whole.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _is_star_forest(edges):
         edges = materialize(_small(_large(edges)).distinct(), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
@@ -50,3 +52,17 @@ def near_labels(edges: DataFrame) -> DataFrame:
     second = first.select(F.col("node").alias("label"), F.col("label").alias("further"))
     return first.join(second, "label").select("node", F.least("label", "further").alias("component"))
 
+
+def contracted(edges: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Labels (node, component) after rounds of ``near_labels``, each over the edges that the one before
+    left between different labels; and those edges (a, b, of labels) that still are left. Together
+    they connect what ``edges`` connects, in about as many edges as there are nodes."""
+    labels, left = None, edges.select("a", "b")
+    for _ in range(rounds):
+        step = materialize(near_labels(left), "labels")
+        named = lambda c, step=step: step.select(F.col("node").alias(c), F.col("component").alias(f"l_{c}"))
+        left = left.join(named("a"), "a").join(named("b"), "b").filter("l_a != l_b").select(F.greatest("l_a", "l_b").alias("a"), F.least("l_a", "l_b").alias("b")).distinct()
+        left = materialize(left, "edges")
+        onward = step.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        labels = step if labels is None else labels.join(onward, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialize(labels, "labels"), left

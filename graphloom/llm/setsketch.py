@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .components import connected_components, near_labels
+from .components import connected_components, contracted
 from .shingles import mix, shingle_set
 
 #: Registers, rows of a band, base, rate, largest register value. A pair of similarity 0.8
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = materialize(_verified(_estimated(stars, nodes, threshold), sets, threshold), "links")
     copies = seen.filter("set_key is not null and doc_id is not null").join(classes.filter("node != most"), "set_key").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     for most in (LIKELIEST, None):  # first the likeliest link to each component, then, across what is left, all
-        labels = materialize(near_labels(links), "labels")
+        labels = contracted(links)[0]
         more = _verified(_rest(shared.select("key", "band", "node"), nodes, labels, threshold, most), sets, threshold)
         links = materialize(links.unionByName(more), "links")
     # copies hang on their class, so only ids that stand for several classes need their rows here
