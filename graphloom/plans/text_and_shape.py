@@ -257,9 +257,7 @@ def debounce_sessions(spark, sf):
 
 def graph_alignment(spark, sf):
     """The earlier version against the later, renamed parts to be found again by structure."""
-    keep = "id LIKE 'region%' OR id LIKE 'nation%' OR id LIKE 'supplier%'"
-    small = [PropertyGraph(g.nodes.filter(keep), g.edges.filter("relation = 'contains' AND target NOT LIKE 'customer%'")) for g in (p.earlier(spark, sf), p.graph(spark, sf))]
-    return align.align(*small)
+    return align.align(p.earlier(spark, sf), p.graph(spark, sf))
 
 
 def communities(spark, sf):
