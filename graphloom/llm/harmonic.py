@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import END_ID, encoder
+from .tokens import encoder
 
 CAPACITY, SMALL = 4096, 64
 
@@ -42,20 +43,20 @@ def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, capacity: in
     def cut(batches):
         from pyspark import TaskContext
 
-        enc, part, end = encoder(tokenizer), TaskContext.get().partitionId(), END_ID.to_bytes(4, "little")
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         taken: dict[int, int] = {}
         for b in batches:
-            rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                ids += end
-                at, n = 0, len(ids) // 4
-                for length in cut_lengths(n, capacity):
-                    kind = capacity // length
-                    number = taken.get(kind, 0)
-                    taken[kind] = number + 1
-                    rows.append((doc, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n, kind, part, number))
-                    at += length
-            if rows:
+            docs_left = iter(b.column(0).to_pylist())
+            for ids, bounds in enc.encode(b.column(1)):
+                rows, data = [], memoryview(ids.astype("<u4").view(np.uint8))
+                for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    doc, at = next(docs_left), lo
+                    for length in cut_lengths(hi - lo, capacity):
+                        kind = capacity // length
+                        number = taken.get(kind, 0)
+                        taken[kind] = number + 1
+                        rows.append((doc, at - lo, length, zlib.crc32(data[4 * at : 4 * (at + length)]), hi - lo, kind, part, number))
+                        at += length
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, number long")

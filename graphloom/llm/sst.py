@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import END_ID, encoder
+from .tokens import encoder
 
 MAGIC = b"GLSST01\n"
 BLOCK_BYTES = 32 * 1024
@@ -203,7 +203,6 @@ def write_shards(docs: DataFrame, key: str, text: str, path: str, tokenizer: str
     Shards hold about ``shard_bytes`` of text: ranges of (key, hash of text), so that one key
     with many rows spreads too. Only ``key`` and ``text`` are read, whatever other columns there are.
     """
-    import numpy as np
     import pyarrow as pa
 
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -213,17 +212,14 @@ def write_shards(docs: DataFrame, key: str, text: str, path: str, tokenizer: str
     def parts(batches):
         enc = encoder(tokenizer)
         width = 2 if enc.vocab_size <= 1 << 16 else 4
-        end = END_ID.to_bytes(4, "little")
-        out, writer = [], ShardWriter(width)
+        writer = ShardWriter(width)
         for b in batches:
-            for key_, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                ids += end
-                part = writer.add(key_bytes(key_), ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
-                if part:
-                    out.append(part)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["part"])
-                out = []
+            keys = iter(b.column(0).to_pylist())
+            for ids, bounds in enc.encode(b.column(1)):
+                data, bounds = ids.astype(f"<u{width}").tobytes(), (width * bounds).tolist()
+                out = [part for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) if (part := writer.add(key_bytes(next(keys)), data[lo:hi]))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["part"])
         yield pa.RecordBatch.from_arrays([pa.array(list(writer.finish()), pa.binary())], ["part"])
 
     ranged = rows.repartitionByRange(n, "k", F.xxhash64("t")).sortWithinPartitions("k", "t")
@@ -237,8 +233,6 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_shards(spark: SparkSession, path: str, key_type: str = "long") -> DataFrame:
     """One row for each entry: shard, row (within the shard), key, ids (array), first (ids of the shard before it)."""
-    import pandas as pd
-
     def entries(batches):
         import numpy as np
 
@@ -263,7 +257,6 @@ def read_shards(spark: SparkSession, path: str, key_type: str = "long") -> DataF
     def _batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["shard", "row", "key", "ids", "first"])
 
-    del pd
     return _files(spark, path).mapInArrow(entries, f"shard int, row long, key {key_type}, ids array<long>, first long")
 
 

@@ -2,16 +2,18 @@
 empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import exact_dedup, harmonic, hilbert, queries, sst
+from graphloom.llm import exact_dedup, harmonic, hilbert, queries, sst, tokens
 from graphloom.llm.common import scratch
 from graphloom.llm.tokens import WordEncoder
 
@@ -51,20 +53,27 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").toPandas()
 
 
-def test_encoder_equals_library():
-    enc, tok = WordEncoder(PATH), Tokenizer.from_file(PATH)
+def encoded(enc, texts):
+    return [ids[lo:hi].tolist() for ids, bounds in enc.encode(pa.array(texts, pa.string())) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_encoder_equals_library(docs, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3000)
+    enc = WordEncoder(PATH)
     assert enc.by_word
-    texts = [r[1] for r in ODD]
+    rng = random.Random(7)
+    marks = [*"abXYz09'!.,-<|>\n\t /", "É", "é", "e\u0301", "\u0301", "\u0338", "=", "ß", "İ", "K", "日", "😀", "\x85", "'s", "'LL", "<|endoftext|>", "<|EndOfText|>"]
+    texts = [r[1] for r in ODD] + ["".join(rng.choices(marks, k=rng.randint(0, 40))) for _ in range(3000)] + docs["text"].tolist()
     for _ in range(2):
-        for t, got in zip(texts, enc.encode(texts), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids
+        assert encoded(enc, texts) == [ids_of(t) for t in texts]
 
 
 def test_encoder_of_a_tokenizer_that_keeps_space():
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc, tok = WordEncoder(path), Tokenizer.from_file(path)
     assert not enc.by_word
-    assert np.frombuffer(enc.encode(["two  words\n"])[0], "<u4").tolist() == tok.encode("two  words\n", add_special_tokens=False).ids
+    assert encoded(enc, ["two  words\n", None]) == [tok.encode("two  words\n", add_special_tokens=False).ids + [2], [2]]
 
 
 def test_op1_equals_brute_force(spark, docs):
