@@ -40,12 +40,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sparkContext().hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; no other letter changes."""
     return F.translate(text, UPPER, LOWER)
-
-
-def content_key(text: Column) -> Column:
-    """128 bits of hash and the byte length: equal for equal texts, and for no others
-    that can be expected at any size."""
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.reverse(text)).alias("b"), F.octet_length(text).alias("n"))

@@ -7,11 +7,12 @@ Runs of registers are banded; documents that share a band are candidates; the si
 a candidate pair is estimated by maximum likelihood from the numbers of registers in which
 either is larger and the known set sizes; what passes is verified on the full sets.
 
-No pair of a large bucket needs to be written: members are first compared with a few
-centres of their bucket (the same few in all buckets of a group), components are contracted,
-and only documents of different components are compared further, block by block, inside
-tasks: first the likeliest links of each to each component, then, components contracted again,
-all that are left.
+No pair of a large bucket needs to be written. Members are first compared with the centre of
+their buckets that they share most bands with, then, components contracted, with the other
+centres that are still in other components. What may be left between components is found by
+prefixes: with shingles in one order, rare ones first, two sets of similarity t share one
+of the first shingles of both, far enough from the end of either. Copies of one component
+need not be compared there, so pairs are few, and none is lost that the bands have found.
 """
 
 from __future__ import annotations
@@ -19,18 +20,20 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components, contracted
-from .shingles import mix, shingle_set
+from .shingles import shingle_set
 
 #: Registers, rows of a band, base, rate, largest register value. A pair of similarity 0.8
 #: shares no band with probability (1 - 0.8**6)**40 = 5e-6.
 M, ROWS, BASE, RATE, TOP = 240, 6, 1.001, 20.0, 65535
 BANDS = M // ROWS
-CENTRES, LIKELIEST, PROBED, SMALL, BLOCK = 4, 3, 4, 64, 4096
+CENTRES = 4
+#: Counters of the sketch of shingle counts by which shingles are put in order.
+COUNTERS = 1 << 18
 #: Standard errors of the estimate by which a pair may fall short and still be verified.
 SLACK = 4.0
 
@@ -53,11 +56,10 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for i in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs.reshape(BANDS, ROWS)[:, i].astype(np.uint64))
-    return key.view(np.int64)
+def _bands() -> Column:
+    """A key for each run of ROWS registers and its place."""
+    wide = 2 * ROWS
+    return F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("regs", wide * b + 1, wide)) for b in range(BANDS)]))
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -99,11 +101,11 @@ def estimates(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.n
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the shingle set), regs, bands; null where there are no shingles."""
+    """doc_id, n_shingles, set_key (digest of the shingle set), regs; null where there are no shingles."""
     import pyarrow as pa
 
-    names = ["doc_id", "n_shingles", "set_key", "regs", "bands"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    names = ["doc_id", "n_shingles", "set_key", "regs"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def rows(batches):
         for b in batches:
@@ -112,9 +114,9 @@ def sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                 s = shingle_set(body.as_py(), width)
                 if len(s):
                     regs = registers(s)
-                    out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), regs.tobytes(), band_keys(regs)))
+                    out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), regs.tobytes()))
                 else:
-                    out.append((doc, 0, None, None, None))
+                    out.append((doc, 0, None, None))
                 if len(out) == 2000:
                     yield _batch(out)
                     out = []
@@ -124,7 +126,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, n_shingles long, set_key binary, regs binary, bands array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, n_shingles long, set_key binary, regs binary")
 
 
 def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -157,12 +159,17 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return joined.mapInArrow(rows, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components."""
+    side = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+    named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return named.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold, in exact integer arithmetic (hundredths)."""
     import pyarrow as pa
 
-    percent = round(threshold * 100)
-
     def rows(batches):
         for t in batches:
             ok = []
@@ -177,66 +184,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(rows, "a long, b long")
 
 
-def _block_pairs(threshold: float, most: int | None):
-    """For one bucket's pair of blocks: pairs of different components that share no earlier
-    band and pass the joint estimate; of a document and a component, the ``most`` likeliest."""
+def _counters(sets: DataFrame) -> np.ndarray:
+    """How many sets hold the shingles of each of COUNTERS classes."""
+    import pyarrow as pa
 
-    def pairs(pdf):
-        import pandas as pd
+    def rows(batches):
+        counts = np.zeros(COUNTERS, np.int64)
+        for t in batches:
+            for s in t.column(0):
+                counts += np.bincount(np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(COUNTERS), minlength=COUNTERS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["slot", "n"])
+
+    # at most COUNTERS rows
+    found = sets.select("shingles").mapInArrow(rows, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
 
-        pdf = pdf.drop_duplicates(["node", "set_key"])
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, M)
-        n, node, comp, block = (pdf[c].to_numpy() for c in ("n_shingles", "node", "component", "block"))
-        band, lo, hi = int(pdf["band"].iloc[0]), int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        found = []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if lo == hi else True)]
-            if not len(other):
-                continue
-            j = estimates(np.broadcast_to(regs[i], (len(other), M)), regs[other], np.full(len(other), n[i]), n[other], threshold)
-            other, j = other[j > 0], j[j > 0]
-            if len(other):
-                same = (regs[other, : band * ROWS] == regs[i, : band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
-                other, j = other[~same], j[~same]
-            if most and len(other) > most:
-                order = np.lexsort((node[other], -j))
-                place = pd.Series(comp[other][order]).groupby(comp[other][order]).cumcount().to_numpy()
-                other = other[order[place < most]]
-            found.append(np.stack([np.full(len(other), node[i]), node[other]]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return pairs
 
+def _prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """token, pos, node, n, component, first: the shingles of each set of which a similar set has
+    one; ``first`` are those that the smaller set of a pair is known to share one of."""
+    import pyarrow as pa
 
-def _rest(banded: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float, most: int | None) -> DataFrame:
-    """Estimated pairs across components, of every bucket that holds more than one component.
+    order = sets.sparkSession.sparkContext.broadcast(_counters(sets))
+    names = ["token", "pos", "node", "n", "component", "first"]
 
-    Pairs of a bucket of up to SMALL come from a join; a larger one is dealt into blocks of
-    about BLOCK, and a task compares two blocks. With ``most`` only larger buckets of the first
-    bands are looked at, and only the ``most`` likeliest links of a document to a component given.
-    """
-    named = banded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.filter(F.col("band") < PROBED) if most else named
-    size = F.count(F.lit(1))
-    mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), size.alias("n"), F.ceil(size / BLOCK).cast("int").alias("blocks")).filter("c0 != c1").select("key", "n", "blocks")
-    dealt = named.join(mixed, "key")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    shared = (
-        dealt.filter(F.col("n") > SMALL)
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    def rows(batches):
+        counts = order.value
+        for t in batches:
+            out = []
+            for node, s, component in zip(t.column(0).to_pylist(), t.column(1), t.column(2).to_pylist(), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                n = len(s)
+                most, pos = n + percent * n // -100 + 1, np.arange(n)
+                s = s[np.lexsort((s, counts[s % np.uint64(COUNTERS)]))[:most]]
+                same = np.ones(len(s), np.int64)
+                out.append((s.view(np.int64), pos[:most], node * same, n * same, component * same, pos[:most] <= n + 2 * percent * n // -(100 + percent)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+    named = sets.join(labels, "node", "left").select("node", "shingles", F.coalesce("component", "node").alias("component"))
+    return named.mapInArrow(rows, "token long, pos long, node long, n long, component long, first boolean")
+
+
+def _across(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose sets may be similar enough, by prefixes. Of the
+    holders of a shingle those of the largest component meet the others only, not each other."""
+    prefixes = materialize(_prefixes(sets, labels, percent), "prefixes")
+    per = prefixes.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = per.groupBy("token").agg(F.max_by("component", "c").alias("largest"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    marked = materialize(prefixes.join(mixed, "token").withColumn("other", F.col("component") != F.col("largest")).drop("largest"), "holders")
+    side = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "pos", "n", "component", "first")])
+    smaller = F.struct("n_u", "node_u") < F.struct("n_v", "node_v")
+    reach = F.least(F.col("n_u") - F.col("pos_u"), F.col("n_v") - F.col("pos_v"))
+    fits = (
+        (F.col("component_u") != F.col("component_v"))
+        & F.when(smaller, F.col("first_u")).otherwise(F.col("first_v"))
+        & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+        & ((100 + percent) * reach >= percent * (F.col("n_u") + F.col("n_v")))
     )
-    full = shared.join(nodes.select("node", "n_shingles", "regs", "set_key"), "node")
-    large = full.groupBy("key", "lo", "hi").applyInPandas(_block_pairs(threshold, most), "a long, b long")
-    if most:
-        return large.distinct()
-    few = dealt.filter(F.col("n") <= SMALL)
-    side = lambda k: few.select("key", F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-    pairs = side("a").join(side("b"), "key").filter("a < b AND c_a != c_b").select("a", "b").distinct()
-    return large.unionByName(_estimated(pairs, nodes, threshold)).distinct()
+    met = side(marked.filter("other"), "u").join(side(marked, "v"), "token").filter(fits)
+    pairs = met.select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b")).distinct()
+    pairs = materialize(pairs, "prefix-pairs")
+    discard(prefixes, marked)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -249,26 +262,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component is null and they are kept. Rows that share a doc_id are one document whose
     texts all count. An empty table gives no rows.
     """
+    percent = round(threshold * 100)
     seen = materialize(sketch(docs, doc_id, text, width), "sketches")
-    classes = materialize(seen.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("most")), "classes")
+    whole = seen.filter("set_key is not null and doc_id is not null")
+    classes = materialize(whole.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("most")), "classes")
     # one row for each different set; its id is the smallest document that has it
-    nodes = seen.filter("set_key is not null").join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"]).withColumnRenamed("doc_id", "node")
+    nodes = whole.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "regs")
     nodes = materialize(nodes, "nodes")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    priority = [F.min(F.struct(F.xxhash64(F.col("node"), F.lit(k)).alias("h"), "node"))["node"] for k in range(CENTRES)]
-    centres = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*priority).alias("centres")).filter("n > 1").drop("n")
-    shared = materialize(banded.join(centres, "key"), "buckets")
-    stars = shared.select("node", F.explode("centres").alias("centre")).filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    sets = materialize(_full_sets(docs, doc_id, text, shared.select("node").distinct(), width), "sets")
-    links = materialize(_verified(_estimated(stars, nodes, threshold), sets, threshold), "links")
-    copies = seen.filter("set_key is not null and doc_id is not null").join(classes.filter("node != most"), "set_key").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    for most in (LIKELIEST, None):  # first the likeliest link to each component, then, across what is left, all
-        labels = contracted(links)[0]
-        more = _verified(_rest(shared.select("key", "band", "node"), nodes, labels, threshold, most), sets, threshold)
-        links = materialize(links.unionByName(more), "links")
+    banded = nodes.select("node", _bands().alias("key")).repartition("key")
+    several = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most").select("key")
+    shared = materialize(banded.join(several, "key"), "buckets")
+    centres = shared.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
+    near = shared.join(centres, "key").select("node", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("centre")).filter("node != centre")
+    near = materialize(near.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("bands")), "centres")
+    members = materialize(shared.select("node").distinct(), "members")
+    sketched = materialize(nodes.join(members, "node", "left_semi"), "sketched")
+    sets = materialize(_full_sets(docs, doc_id, text, members, width), "sets")
+    discard(nodes, shared)
+    pair = lambda df: df.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _verified(_estimated(pairs, sketched, threshold), sets, percent)
+
+    likeliest = near.groupBy("node").agg(F.max_by("centre", "bands").alias("centre"))
+    links = materialize(linked(pair(likeliest)), "links")
+    labels = contracted(links)[0]
+    links = materialize(links.unionByName(linked(_apart(pair(near), labels))), "links")
+    labels = contracted(links)[0]
+    links = materialize(links.unionByName(linked(_across(sets, labels, percent))), "links")
+    discard(near, members, sketched, sets)
     # copies hang on their class, so only ids that stand for several classes need their rows here
-    several = seen.filter("set_key is not null and doc_id is not null").select("doc_id", "set_key").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("a"))
-    final = connected_components(links.unionByName(copies.join(several, "a", "left_semi").select("a", "b")))
+    copies = whole.join(classes.filter("node != most"), "set_key").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    twice = whole.select("doc_id", "set_key").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("a"))
+    final = connected_components(links.unionByName(copies.join(twice, "a", "left_semi").select("a", "b")))
     rows = seen.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "node"), "set_key", "left").join(final, "node", "left")
     named = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return rows.select("doc_id", "n_shingles", named.alias("component_id"), F.coalesce(F.col("doc_id") == named, F.lit(True)).alias("kept"))

@@ -54,9 +54,7 @@ def test_equals_brute_force(spark):
         assert got == brute(rows, width)
 
 
-def test_hot_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(setsketch, "BLOCK", 16)
-    monkeypatch.setattr(setsketch, "SMALL", 4)
+def test_hot_group_of_near_copies(spark):
     rng = np.random.default_rng(3)
     base = ["w%d" % k for k in range(120)]
     rows = []
@@ -69,6 +67,29 @@ def test_hot_group_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows, 4)
 
 
+def test_prefixes_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "COUNTERS", 64)
+    rng = np.random.default_rng(5)
+    base, sets = rng.integers(0, 1 << 62, 60, dtype=np.uint64), {}
+    for i in range(120):
+        own = rng.integers(0, 1 << 62, rng.integers(0, 9), dtype=np.uint64)
+        sets[i] = np.unique(np.concatenate([base[rng.random(60) < 0.94], own, base[:1]]))
+    sets |= {200 + i: np.unique(rng.integers(0, 6, rng.integers(1, 7), dtype=np.uint64)) for i in range(60)}
+    near = set()
+    for a in sets:
+        for b in sets:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                near.add((a, b))
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "node long, shingles binary").repartition(3)
+    for labels in ({}, {i: 0 for i in range(50)} | {200 + i: 200 + i % 3 for i in range(20)}):
+        named = spark.createDataFrame(list(labels.items()), "node long, component long")
+        got = {tuple(r) for r in setsketch._across(table, named, 80).collect()}
+        of = lambda x, labels=labels: labels.get(x, x)
+        assert {(a, b) for a, b in near if of(a) != of(b)} <= got
+        assert all(of(a) != of(b) for a, b in got)
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(1, text), (1, text), (2, text.upper()), (None, text), (3, None), (4, "a b c d"), (1, "a b c d")], "doc_id long, text string")
