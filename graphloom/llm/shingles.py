@@ -6,6 +6,7 @@ import numpy as np
 
 _P, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+CHUNK = 1 << 16
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -41,16 +42,25 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word in order, A-Z lower-cased: sums of bytes times powers of an
-    odd number, so that one pass of prefix sums gives every word's."""
+    odd number, so that one pass of prefix sums gives every word's. Texts are taken in runs of
+    words of about CHUNK bytes, so that powers are needed for a run (or the longest word) only."""
     data = (text or "").encode("utf-8", "surrogatepass")
     starts, ends = word_spans(data)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    _tables(len(data))
-    folded = _FOLD[np.frombuffer(data, np.uint8)].astype(np.uint64) + np.uint64(1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(folded * _powers[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
+    bytes_ = _FOLD[np.frombuffer(data, np.uint8)]
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, "right")))
+        first, n = starts[lo], int(ends[hi - 1] - starts[lo])
+        _tables(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((bytes_[first : first + n].astype(np.uint64) + np.uint64(1)) * _powers[:n], out=sums[1:])
+        s, e = starts[lo:hi] - first, ends[lo:hi] - first
+        out[lo:hi] = mix((sums[e] - sums[s]) * _inverses[s] + (e - s).astype(np.uint64))
+        lo = hi
+    return out
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
