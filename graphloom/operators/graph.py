@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import normalize_id
 from ..schema import CONTAINMENT, EDGE, NODE
+from .rounds import cut
 
 
 def with_columns_of(df: DataFrame, schema) -> DataFrame:
@@ -20,9 +21,12 @@ def with_columns_of(df: DataFrame, schema) -> DataFrame:
 
 def upsert_nodes(records: DataFrame, ordinal: str = "ord") -> DataFrame:
     """One row for each id; each attribute is its last non-null value by ordinal, so that a
-    later record without it doesn't erase it."""
+    later record without it doesn't erase it. All attributes take one shuffle and one sort."""
     columns = [c for c in records.columns if c not in ("id", ordinal)]
-    return records.filter("id is not null").groupBy("id").agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(ordinal))).alias(c) for c in columns])
+    latest = Window.partitionBy("id").orderBy(F.desc(ordinal))
+    whole = latest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = [F.first(F.when(F.col(ordinal).isNotNull(), F.col(c)), ignorenulls=True).over(whole).alias(c) for c in columns]
+    return records.filter("id is not null").select("id", *last, F.row_number().over(latest).alias("_n")).filter("_n = 1").drop("_n")
 
 
 def overwrite_edges(records: DataFrame, ordinal: str = "ord", directed: bool = False) -> DataFrame:
@@ -32,8 +36,9 @@ def overwrite_edges(records: DataFrame, ordinal: str = "ord", directed: bool = F
     keyed = records.select("*", *pair)
     keys = ["source", "target"] if directed else ["lo", "hi"]
     rest = [c for c in keyed.columns if c not in (*keys, ordinal)]
-    last = keyed.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(ordinal)).alias("_e"))
-    return last.select(*keys, *[F.col(f"_e.{c}").alias(c) for c in rest])
+    # of each pair only the last leaves a task before the shuffle
+    latest = Window.partitionBy(*keys).orderBy(F.desc(ordinal))
+    return keyed.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").select(*keys, *rest)
 
 
 def resolve_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -70,6 +75,10 @@ class PropertyGraph:
         nodes, edges = (reduce(DataFrame.unionByName, [t[k] for t in tagged]) for k in (0, 1))
         return cls.build(nodes, edges, directed)
 
+    def stored(self) -> PropertyGraph:
+        """The same graph as written tables, so that it is built once for all that is asked of it."""
+        return PropertyGraph(cut(self.nodes), cut(self.edges), self.directed, self.metadata)
+
     def add_nodes(self, records: DataFrame) -> PropertyGraph:
         old = with_columns_of(self.nodes, records.drop("ord").schema).withColumn("ord", F.lit(-1).cast("long"))
         new = with_columns_of(records.withColumn("ord", F.col("ord").cast("long")), self.nodes.schema)

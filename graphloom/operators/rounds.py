@@ -1,16 +1,28 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, with written tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. Where it is unset, a
+    temporary one of this machine serves in local mode; elsewhere that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of ``spark.checkpoint.dir``; a folder of its own where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read back: computed once, later reads take the
+    columns they need, and a lost executor costs no more than the tasks it ran."""
+    path = f"{shared_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,25 +48,32 @@ def shortest_path(adjacency: DataFrame, source: str, target: str, max_hops: int
     """The shortest path, of several the smallest sequence of ids; None beyond ``max_hops`` (0: no
     limit). A node reaches itself even if it is none of the graph's.
 
-    Frontiers carry one path for each node, the least, which is what a queue with sorted
-    neighbours finds.
+    Levels hold each node once, with no path. The path is then walked: back from the target to
+    the nodes of each level that lead to it, and forward by the smallest of these.
     """
     if source == target:
         return [source]
-    spark = adjacency.sparkSession
-    frontier = spark.createDataFrame([(source, [source])], "id string, path array<string>")
-    seen, step = frontier.select("id"), 0
-    while not max_hops or step < max_hops:
-        step += 1
-        stepped = frontier.join(adjacency, "id").select(F.col("peer").alias("id"), F.concat("path", F.array("peer")).alias("path"))
-        frontier = cut(stepped.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
-        hit = frontier.filter(F.col("id") == target).select("path").head()
-        if hit:
-            return hit["path"]
-        if frontier.isEmpty():
+    frontier = adjacency.sparkSession.createDataFrame([(source,)], "id string")
+    levels = [frontier]
+    while not max_hops or len(levels) <= max_hops:
+        seen = reduce(DataFrame.unionByName, levels)
+        frontier = cut(frontier.join(adjacency, "id").select(F.col("peer").alias("id")).distinct().join(seen, "id", "left_anti"))
+        found = frontier.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("id") == target).alias("hit")).first()
+        if found["hit"]:
+            break
+        if not found["n"]:
             return None
-        seen = seen.unionByName(frontier.select("id"))
-    return None
+        levels.append(frontier)
+    else:
+        return None
+    onward = [adjacency.sparkSession.createDataFrame([(target,)], "peer string")]
+    for level in reversed(levels[1:]):
+        into = adjacency.join(onward[-1], "peer", "left_semi").join(level, "id", "left_semi")
+        onward.append(cut(into.select(F.col("id").alias("peer")).distinct()))
+    path = [source]
+    for ahead in reversed(onward):
+        path.append(adjacency.filter(F.col("id") == path[-1]).join(ahead, "peer", "left_semi").agg(F.min("peer")).first()[0])
+    return path
 
 
 def walk_chain(edges: DataFrame, start: str, relation: str, direction: str = "out", max_depth: int = 5) -> DataFrame:

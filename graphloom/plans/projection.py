@@ -58,20 +58,34 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple[str, str, str], PropertyGraph] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, version: str, build) -> PropertyGraph:
+    """The stored graph of a version of the tables; each session builds it once."""
+    key = (spark.sparkContext.applicationId, sf_dir, version)
+    if key not in _stored:
+        _stored[key] = build().stored()
+    return _stored[key]
+
+
 def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Ids here are already normal and every endpoint is a node, so only the overwrite is left to do."""
-    return PropertyGraph(nodes(spark, sf_dir), overwrite_edges(raw_edges(spark, sf_dir)))
+    return _once(spark, sf_dir, "now", lambda: PropertyGraph(nodes(spark, sf_dir), overwrite_edges(raw_edges(spark, sf_dir))))
 
 
 def earlier(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """An older version: without orders from CUTOFF on and without parts whose key ends in 7, which
     were then called otherwise."""
+    return _once(spark, sf_dir, "earlier", lambda: _earlier(spark, sf_dir))
+
+
+def _earlier(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     late = read(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= CUTOFF).select(_id("order", "o_orderkey").alias("id"))
-    renamed = F.when(F.col("id").rlike("^part_[0-9]*7$"), F.concat("id", F.lit("_old"))).otherwise(F.col("id"))
+    old = lambda c: F.when(F.col(c).rlike("^part_[0-9]*7$"), F.concat(c, F.lit("_old"))).otherwise(F.col(c))
     now = graph(spark, sf_dir)
-    kept = now.nodes.join(late, "id", "left_anti").withColumn("id", renamed)
-    target = F.when(F.col("target").rlike("^part_[0-9]*7$"), F.concat("target", F.lit("_old"))).otherwise(F.col("target"))
-    edges = now.edges.join(late, F.col("target") == late["id"], "left_anti").withColumn("target", target)
+    kept = now.nodes.join(late, "id", "left_anti").withColumn("id", old("id"))
+    edges = now.edges.join(late, F.col("target") == late["id"], "left_anti").withColumn("target", old("target"))
     return PropertyGraph(kept, edges.withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")}))
 
 
