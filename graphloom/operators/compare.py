@@ -61,14 +61,13 @@ def composite(scores: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def tree_scores(a: PropertyGraph, b: PropertyGraph, semantic: bool = False) -> DataFrame:
-    """(metric, score) of the containment trees. Edit distance, common subtrees and anti-unification
-    come from trees.py's hash counts, as they run over trees of any size."""
+    """(metric, score) of the containment trees. The edit distance is exact up to trees.EXACT_CELLS."""
     ta, tb = trees.containment_tree(a), trees.containment_tree(b)
     ha, hb = trees.subtree_hashes(ta, semantic), trees.subtree_hashes(tb, semantic)
     named = lambda df, c, metric: df.select(F.lit(metric).alias("metric"), F.col(c).cast("double").alias("score"))
     parts = [
         named(trees.subtree_match(ha, hb), "score", "AHU"),
-        named(trees.approximate_edit_distance(ta, tb), "similarity", "TED"),
+        named(trees.edit_distance(ta, tb, semantic), "similarity", "TED"),
         named(trees.common_subtrees(ta, tb, ha, hb), "score", "MCS"),
         named(trees.subtree_frequency(ta, tb, semantic=semantic), "cosine", "SubtreeFreq"),
         named(trees.tree_kernel(ta, tb), "score", "TreeKernel"),
@@ -100,8 +99,7 @@ def compare(a: PropertyGraph, b: PropertyGraph, options: Options | None = None)
     whole = composite(out["scores"], weights_table(spark, o.metric_weights()))
     out["composite"] = whole.crossJoin(out["distance"]).select(F.when(F.col("distance") == 0, 1.0).otherwise(F.col("composite")).alias("composite"))
     out["renames"] = diff.rename_candidates(a, b, o.rename_threshold, o.top_k)
-    changed = out["nodes"].filter("status != 'removed'").select("id")
-    out["impact"] = traverse.impact(b, changed, o.impact_depth, o.top_k)
+    out["impact"] = traverse.ranked_impact(a, b, out["nodes"], o.impact_depth, o.top_k)
     out["drift"] = diff.import_drift(a, b, o.relations)
     return out
 

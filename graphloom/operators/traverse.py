@@ -90,14 +90,22 @@ def raw_adjacency(edges: DataFrame) -> DataFrame:
 
 
 def impact(graph: PropertyGraph, changed: DataFrame, depth: int = 3, top_k: int = 20, shown: int = 10) -> DataFrame:
-    """(id, affected, ids): for each changed node the number of others within ``depth`` steps of it
-    (either way along edges) and the first few ids; largest first."""
-    starts = changed.select(F.col("id").alias("origin"), "id")
-    near = distances(graph.adjacency(), starts, depth).filter("dist > 0")
-    counted = near.groupBy("origin").agg(F.count(F.lit(1)).alias("affected"))
-    top = changed.select(F.col("id").alias("origin")).distinct().join(counted, "origin", "left").select("origin", F.coalesce("affected", F.lit(0)).alias("affected")).orderBy(F.desc("affected"), "origin").limit(top_k)
-    ids = near.join(top.select("origin"), "origin", "left_semi").withColumn("n", F.row_number().over(_first("origin", "id"))).filter(F.col("n") <= shown).groupBy("origin").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return top.join(ids, "origin", "left").select(F.col("origin").alias("id"), "affected", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")).orderBy(F.desc("affected"), "id")
+    """(id, affected, ids): for each changed node that reaches any the number of others within ``depth``
+    steps of it (either way along edges) and the first few ids; largest first."""
+    starts = changed.select(F.col("id").alias("origin"), "id").distinct()
+    near = distances(graph.adjacency(), starts, depth).filter("id != origin")
+    top = near.groupBy("origin").agg(F.count(F.lit(1)).alias("affected")).orderBy(F.desc("affected"), "origin").limit(top_k)
+    ids = near.join(F.broadcast(top.select("origin")), "origin", "left_semi").withColumn("n", F.row_number().over(_first("origin", "id"))).filter(F.col("n") <= shown).groupBy("origin").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return top.join(ids, "origin").select(F.col("origin").alias("id"), "affected", "ids").orderBy(F.desc("affected"), "id")
+
+
+def ranked_impact(a: PropertyGraph, b: PropertyGraph, changes: DataFrame, depth: int = 3, top_k: int = 20) -> DataFrame:
+    """(id, change, affected, ids) for the nodes of ``changes`` (id, status): removed ones by their reach
+    in ``a``, the others in ``b``; largest first, ties by id."""
+    now = impact(b, changes.filter("status != 'removed'"), depth, top_k)
+    gone = impact(a, changes.filter("status = 'removed'"), depth, top_k)
+    both = now.unionByName(gone).join(changes.select("id", F.col("status").alias("change")), "id")
+    return both.select("id", "change", "affected", "ids").orderBy(F.desc("affected"), "id").limit(top_k)
 
 
 def _first(group: str, order: str):

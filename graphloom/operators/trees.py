@@ -12,7 +12,7 @@ from .align import node_types
 from .graph import PropertyGraph
 from .rounds import cut
 
-LAMBDA, KERNEL_DEPTH, KERNEL_LARGE = 0.5, 6, 1000
+LAMBDA = 0.5
 
 
 def containment_tree(graph: PropertyGraph) -> DataFrame:
@@ -154,23 +154,22 @@ def _heights(tree: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, now)
 
 
-def tree_kernel(a: DataFrame, b: DataFrame) -> DataFrame:
+def tree_kernel(a: DataFrame, b: DataFrame, levels: int | None = None) -> DataFrame:
     """One row, ``score``: normalised subset-tree kernel of two trees.
 
     Equal hashes mean that all children match, so the kernel of a pair of subtrees depends on
     their hash alone, and the sum over pairs is lambda nA nB + sum over hashes of cA cB (K - lambda).
-    Trees over KERNEL_LARGE nodes count nodes nearer than KERNEL_DEPTH to the root only. Null if a
-    value leaves the range of doubles.
+    With ``levels`` only nodes of that many levels from the root on count. Null if a value leaves the
+    range of doubles.
     """
     size = [t.count() for t in (a, b)]
     if not all(size):
         return a.sparkSession.createDataFrame([(1.0 if not any(size) else 0.0,)], "score double")
-    deep = max(size) > KERNEL_LARGE
     parts = []
     for t in (a, b):
         h = cut(subtree_hashes(t).join(_heights(t), "id"))
         k = _kernel_values(t, h)
-        near = h.filter(F.col("depth") < KERNEL_DEPTH) if deep else h
+        near = h if levels is None else h.filter(F.col("depth") < levels)
         parts.append((_counts(near, "ahu"), k))
     (ca, ka), (cb, kb) = parts
     k = ka.unionByName(kb).groupBy("ahu").agg(F.max("k").alias("k"))
@@ -239,9 +238,34 @@ def _per(group, *order):
     return Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(*order)
 
 
+def _by_nearest_size(pdf):
+    """From (id_a, id_b, side, sub_size, n): which many children of a size go to which size of the
+    other side. The largest of side a choose first, each the nearest size left, of two the larger."""
+    import numpy as np
+    import pandas as pd
+
+    a, b = (pdf[pdf["side"] == k].sort_values("sub_size", ascending=False)[["sub_size", "n"]].to_numpy() for k in "ab")
+    left, used, out = b[:, 1].copy(), np.zeros(len(b), np.int64), []
+    for size, n in a.tolist():
+        first = 0
+        while n and left.any():
+            open_ = np.flatnonzero(left)
+            j = int(open_[np.abs(b[open_, 0] - size).argmin()])
+            take = min(n, int(left[j]))
+            out.append((pdf["id_a"].iloc[0], pdf["id_b"].iloc[0], size, first, int(b[j, 0]), int(used[j]), take))
+            left[j] -= take
+            used[j] += take
+            n, first = n - take, first + take
+    return pd.DataFrame(out, columns=["id_a", "id_b", "size_a", "first_a", "size_b", "first_b", "n"])
+
+
 def anti_unification(a: DataFrame, b: DataFrame, hashes_a: DataFrame, hashes_b: DataFrame) -> DataFrame:
     """One row, ``score``: matched nodes over the larger tree. Roots are paired, then the children of
-    each pair, level by level: equal subtrees first, the others in order of size."""
+    each pair, level by level: equal subtrees first, the others each with the nearest in size.
+
+    Sizes are matched as counts, so that a group holds a row for each different size among the
+    children of a pair (in a tree of n nodes under 2 sqrt(n)), not for each child.
+    """
     sizes = [a.count(), b.count()]
     spark = a.sparkSession
     if not all(sizes):
@@ -252,11 +276,16 @@ def anti_unification(a: DataFrame, b: DataFrame, hashes_a: DataFrame, hashes_b:
     while True:
         kids = [f.select(F.col("parent").alias(f"id_{k}"), F.col("id").alias(f"kid_{k}"), "ahu", "sub_size") for f, k in zip(full, "ab", strict=True)]
         ca, cb = (cut(pairs.join(kid, f"id_{k}")) for kid, k in zip(kids, "ab", strict=True))
-        ranked = lambda df, k, *by: df.withColumn("n", F.row_number().over(_per(["id_a", "id_b", *by], F.desc("sub_size"), f"kid_{k}")))
+        ranked = lambda df, k, by: df.withColumn("n", F.row_number().over(_per(["id_a", "id_b", by], f"kid_{k}")))
         same = ranked(ca, "a", "ahu").drop("sub_size").join(ranked(cb, "b", "ahu").drop("sub_size"), ["id_a", "id_b", "ahu", "n"]).select("kid_a", "kid_b")
         same = cut(same)
-        rest_a, rest_b = ca.join(same.select("kid_a"), "kid_a", "left_anti"), cb.join(same.select("kid_b"), "kid_b", "left_anti")
-        other = ranked(rest_a, "a").select("id_a", "id_b", "n", "kid_a").join(ranked(rest_b, "b").select("id_a", "id_b", "n", "kid_b"), ["id_a", "id_b", "n"]).select("kid_a", "kid_b")
+        rest = [cut(ranked(c.join(same.select(f"kid_{k}"), f"kid_{k}", "left_anti"), k, "sub_size").withColumn("n", F.col("n") - 1)) for c, k in ((ca, "a"), (cb, "b"))]
+        counts = [r.groupBy("id_a", "id_b", "sub_size").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(k)) for r, k in zip(rest, "ab", strict=True)]
+        deals = counts[0].unionByName(counts[1]).groupBy("id_a", "id_b").applyInPandas(_by_nearest_size, "id_a string, id_b string, size_a long, first_a long, size_b long, first_b long, n long")
+        dealt = deals.withColumnRenamed("n", "take").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1)))
+        dealt = dealt.select("id_a", "id_b", "size_a", (F.col("first_a") + F.col("i")).alias("n_a"), "size_b", (F.col("first_b") + F.col("i")).alias("n_b"))
+        side = lambda r, k: r.select("id_a", "id_b", F.col("sub_size").alias(f"size_{k}"), F.col("n").cast("long").alias(f"n_{k}"), f"kid_{k}")
+        other = dealt.join(side(rest[0], "a"), ["id_a", "id_b", "size_a", "n_a"]).join(side(rest[1], "b"), ["id_a", "id_b", "size_b", "n_b"]).select("kid_a", "kid_b")
         pairs = cut(same.unionByName(other).select(F.col("kid_a").alias("id_a"), F.col("kid_b").alias("id_b")))
         n = pairs.count()
         if not n:
@@ -270,62 +299,72 @@ EXACT_CELLS = 25_000_000
 
 
 def _postorder(pdf) -> tuple[list[str], list[int]]:
-    """Node types and leftmost leaves in post-order, 1-based; children by id, roots under one virtual root."""
+    """Kinds and leftmost leaves in post-order, from 1 on; children by id. Several roots get one above them."""
     kids: dict[str, list[str]] = {}
     for i, parent in sorted(zip(pdf["id"], pdf["parent"].fillna(""), strict=True)):
         kids.setdefault(parent, []).append(i)
-    kind = dict(zip(pdf["id"], pdf["node_type"], strict=True)) | {"": "virtual"}
-    types, left, todo, first = [""], [0], [("", False)], {}
+    kind = dict(zip(pdf["id"], pdf["kind"], strict=True)) | {"": "virtual"}
+    top = kids[""][0] if len(kids.get("", [])) == 1 else ""
+    kinds, left, todo, first = [""], [0], [(top, False)], {}
     while todo:
         node, done = todo.pop()
         if not done:
             todo.append((node, True))
             todo += [(k, False) for k in reversed(kids.get(node, []))]
             continue
-        types.append(kind[node])
-        first[node] = first[kids[node][0]] if node in kids else len(types) - 1
+        kinds.append(kind[node])
+        first[node] = first[kids[node][0]] if node in kids else len(kinds) - 1
         left.append(first[node])
-    return types, left
+    return kinds, left
 
 
-def _zhang_shasha(a, b, semantic: bool) -> int:
-    """Ordered tree edit distance with unit costs; a rename costs 1 if types differ and ``semantic``."""
+def _ordered_distance(a, b, semantic: bool) -> int:
+    """Ordered tree edit distance (Zhang and Shasha 1989) with unit costs, a row of the table at a time;
+    a rename costs 1 if kinds differ and ``semantic``."""
     import numpy as np
 
-    (ta, la), (tb, lb) = _postorder(a), _postorder(b)
-    keys = lambda left: sorted({left[i]: i for i in range(1, len(left))}.values())
-    dist = np.zeros((len(ta), len(tb)), np.int64)
-    for i in keys(la):
-        for j in keys(lb):
-            m, n = i - la[i] + 2, j - lb[j] + 2
-            d = np.zeros((m, n), np.int64)
-            d[:, 0], d[0, :] = np.arange(m), np.arange(n)
-            for x in range(1, m):
+    (ka, la), (kb, lb) = _postorder(a), _postorder(b)
+    codes = {k: n for n, k in enumerate(sorted({*ka, *kb}))}
+    ka, kb = (np.array([codes[k] for k in ks]) for ks in (ka, kb))
+    la, lb = np.array(la), np.array(lb)
+    last = lambda left: sorted({int(left[i]): i for i in range(1, len(left))}.values())
+    dist = np.zeros((len(ka), len(kb)), np.int32)
+    for i in last(la):
+        for j in last(lb):
+            m, n = i - la[i] + 1, j - lb[j] + 1
+            q = np.arange(lb[j], j + 1)
+            spine, steps = lb[q] == lb[j], np.arange(n + 1)
+            table = np.zeros((m + 1, n + 1), np.int32)
+            table[0] = steps
+            for x in range(1, m + 1):
                 p = la[i] + x - 1
-                for y in range(1, n):
-                    q = lb[j] + y - 1
-                    if la[p] == la[i] and lb[q] == lb[j]:
-                        d[x, y] = min(d[x - 1, y] + 1, d[x, y - 1] + 1, d[x - 1, y - 1] + int(semantic and ta[p] != tb[q]))
-                        dist[p, q] = d[x, y]
-                    else:
-                        d[x, y] = min(d[x - 1, y] + 1, d[x, y - 1] + 1, d[la[p] - la[i], lb[q] - lb[j]] + dist[p, q])
+                above = table[x - 1]
+                whole = table[la[p] - la[i], lb[q] - lb[j]] + dist[p, q]
+                if la[p] == la[i]:
+                    renamed = above[:-1] + ((ka[p] != kb[q]) if semantic else 0)
+                    whole = np.where(spine, renamed, whole)
+                row = np.concatenate([[x], np.minimum(above[1:] + 1, whole)])
+                table[x] = np.minimum.accumulate(row - steps) + steps  # insertions from the left
+                if la[p] == la[i]:
+                    dist[p, q[spine]] = table[x, 1:][spine]
     return int(dist[-1, -1])
 
 
 def edit_distance(a: DataFrame, b: DataFrame, semantic: bool = False) -> DataFrame:
     """One row, ``distance``, ``similarity``, ``exact``. Exact while the product of the sizes is at
-    most EXACT_CELLS, which bounds what the one task of the dynamic programme holds; else by hash counts."""
+    most EXACT_CELLS, which bounds what the one task of the dynamic programme holds (100 MB); else
+    by hash counts. With ``semantic`` nodes of unequal type or tags are unequal."""
     import pandas as pd
 
     na, nb = a.count(), b.count()
     if na * nb > EXACT_CELLS:
         return approximate_edit_distance(a, b).withColumn("exact", F.lit(False))
-    both = a.select("id", "parent", "node_type", F.lit(0).alias("side")).unionByName(b.select("id", "parent", "node_type", F.lit(1).alias("side")))
+    if not na or not nb:
+        return a.sparkSession.createDataFrame([(na + nb, 1.0 if not na + nb else 0.0, True)], "distance long, similarity double, exact boolean")
+    rows = lambda t, k: t.select("id", "parent", F.concat("node_type", F.lit("\n"), F.array_join("tags", "\n")).alias("kind"), F.lit(k).alias("side"))
 
     def solve(pdf):
-        d = _zhang_shasha(pdf[pdf["side"] == 0], pdf[pdf["side"] == 1], semantic)
-        return pd.DataFrame({"distance": [d], "similarity": [max(0.0, 1 - d / max(na + nb, 1))], "exact": [True]})
+        d = _ordered_distance(pdf[pdf["side"] == 0], pdf[pdf["side"] == 1], semantic)
+        return pd.DataFrame({"distance": [d], "similarity": [max(0.0, 1 - d / (na + nb))], "exact": [True]})
 
-    if not na + nb:
-        return a.sparkSession.createDataFrame([(0, 1.0, True)], "distance long, similarity double, exact boolean")
-    return both.groupBy(F.lit(0).alias("_one")).applyInPandas(solve, "distance long, similarity double, exact boolean")
+    return rows(a, 0).unionByName(rows(b, 1)).groupBy(F.lit(0).alias("_one")).applyInPandas(solve, "distance long, similarity double, exact boolean")

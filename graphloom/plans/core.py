@@ -201,9 +201,12 @@ def bfs_edges_depth2(spark, sf):
 
 
 @query(
-    """, walk AS (SELECT ['nation_0'] AS path UNION ALL SELECT list_append(w.path, a.peer) FROM walk w JOIN adj a ON a.id = w.path[-1]
-          WHERE len(w.path) <= 4 AND NOT list_contains(w.path, a.peer) AND a.peer NOT LIKE 'order%' AND a.peer NOT LIKE 'customer%')
-       SELECT array_to_string(path, ' > ') AS path FROM walk WHERE path[-1] = 'nation_1' ORDER BY len(path), path LIMIT 1""",
+    """, hood AS (SELECT 'nation_0' AS id, 0 AS dist UNION SELECT a.peer, h.dist + 1 FROM hood h JOIN adj a ON a.id = h.id WHERE h.dist < 10),
+       best AS (SELECT id, min(dist) AS dist FROM hood GROUP BY id),
+       back AS (SELECT id, dist FROM best WHERE id = 'nation_1' UNION SELECT x.id, x.dist FROM back b JOIN adj a ON a.id = b.id JOIN best x ON x.id = a.peer AND x.dist = b.dist - 1),
+       walk AS (SELECT 'nation_0' AS id, ['nation_0'] AS path UNION ALL
+         SELECT b.id, min(list_append(w.path, b.id)) FROM walk w JOIN adj a ON a.id = w.id JOIN back b ON b.id = a.peer AND b.dist = len(w.path) GROUP BY b.id)
+       SELECT array_to_string(path, ' > ') AS path FROM walk WHERE id = 'nation_1'""",
     recursive=True,
 )
 def shortest_path(spark, sf):
@@ -221,22 +224,33 @@ def walk_chain(spark, sf):
 
 
 @query(
-    """SELECT t.id AS target, e.source || ' > ' || t.id AS path FROM nodes t JOIN edges e ON e.target = t.id AND e.relation = 'calls'
-       WHERE list_contains(t.tags, '1-urgent') ORDER BY t.id LIMIT 200"""
+    """, flow AS (SELECT DISTINCT source, target FROM edges WHERE relation IN ('contains', 'calls')),
+       chain AS (SELECT id AS target, id, [id] AS path FROM nodes WHERE list_contains(tags, '1-urgent')
+         UNION ALL SELECT c.target, f.source, list_prepend(f.source, c.path) FROM chain c JOIN flow f ON f.target = c.id)
+       SELECT target, array_to_string(path, ' > ') AS path FROM chain c WHERE len(path) > 1 AND NOT EXISTS (SELECT 1 FROM flow f WHERE f.target = c.id) ORDER BY target LIMIT 200""",
+    recursive=True,
 )
 def trace_calls(spark, sf):
-    return traverse.trace_tag(p.graph(spark, sf), "1-urgent", 10, 200).select("target", F.array_join("path", " > ").alias("path"))
+    """Chains from region over nation and customer to urgent orders; containment counts as a call, since
+    customers call orders only."""
+    g = p.graph(spark, sf)
+    flow = g.edges.filter("relation IN ('contains', 'calls')").withColumn("relation", F.lit("calls"))
+    return traverse.trace_tag(PropertyGraph(g.nodes, flow), "1-urgent", 10, 200).select("target", F.array_join("path", " > ").alias("path"))
 
 
 @query(
-    """, changed AS (SELECT id FROM nodes WHERE id LIKE 'supplier%' AND id LIKE '%7'),
-       near AS (SELECT id AS origin, id, 0 AS dist FROM changed UNION SELECT n.origin, a.peer, n.dist + 1 FROM near n JOIN adj a ON a.id = n.id WHERE n.dist < 2)
-       SELECT c.id, count(DISTINCT n.id) - 1 AS affected FROM changed c JOIN near n ON n.origin = c.id GROUP BY c.id ORDER BY affected DESC, c.id LIMIT 20""",
-    recursive=True,
+    """, u AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed'
+           WHEN da.degree <> db.degree OR a.label <> b.label OR a.tags <> b.tags OR a.source_file <> b.source_file THEN 'modified' END AS change
+         FROM a_nodes a FULL JOIN nodes b ON a.id = b.id LEFT JOIN a_degrees da ON da.id = a.id LEFT JOIN degrees db ON db.id = b.id),
+       near AS (SELECT id AS origin, peer AS id FROM u JOIN adj USING (id) WHERE change <> 'removed' UNION ALL SELECT id, peer FROM u JOIN a_adj USING (id) WHERE change = 'removed')
+       SELECT origin AS id, change, count(DISTINCT near.id) AS affected FROM near JOIN u ON u.id = origin WHERE near.id <> origin GROUP BY origin, change ORDER BY affected DESC, origin LIMIT 20""",
+    p.EARLIER_SQL,
 )
 def multi_source_impact(spark, sf):
-    g = p.graph(spark, sf)
-    return traverse.impact(g, g.nodes.filter("id LIKE 'supplier%' AND id LIKE '%7'").select("id"), 2).select("id", "affected")
+    """Every node that the later version adds or changes, and in the earlier one every node that goes,
+    with the nodes next to it."""
+    a, b = p.earlier(spark, sf), p.graph(spark, sf)
+    return traverse.ranked_impact(a, b, diff.diff_nodes(a, b), 1).select("id", "change", "affected")
 
 
 # ---- two versions ---------------------------------------------------------------------------
@@ -331,16 +345,18 @@ def rename_candidates(spark, sf):
 
 
 @query(
-    """, mid AS (SELECT source, target FROM raw WHERE relation = 'imports' AND k0 < 100),
-       ia AS (SELECT DISTINCT s.source_file AS file, t.label AS name FROM mid e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target),
-       ib AS (SELECT DISTINCT s.source_file AS file, t.label AS name FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE relation = 'imports')
+    """, old AS (SELECT id, CASE WHEN id LIKE 'customer%7' OR id LIKE 'part%7' THEN label || ' (old)' ELSE label END AS label, source_file FROM nodes),
+       ia AS (SELECT DISTINCT s.source_file AS file, t.label AS name FROM edges e JOIN old s ON s.id = e.source JOIN old t ON t.id = e.target WHERE relation IN ('imports', 'contains')),
+       ib AS (SELECT DISTINCT s.source_file AS file, t.label AS name FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE relation IN ('imports', 'contains'))
        SELECT file, count(*) FILTER (WHERE side = 'b') AS added, count(*) FILTER (WHERE side = 'a') AS removed FROM (
          (SELECT 'b' AS side, * FROM (SELECT * FROM ib EXCEPT SELECT * FROM ia)) UNION ALL (SELECT 'a', * FROM (SELECT * FROM ia EXCEPT SELECT * FROM ib))) GROUP BY file"""
 )
 def import_drift(spark, sf):
+    """Against a version in which customers and parts with a key that ends in 7 were called otherwise."""
     now = p.graph(spark, sf)
-    half = p.raw_edges(spark, sf).filter("relation != 'imports' OR ord.k0 < 100").withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")})
-    return diff.import_drift(PropertyGraph(now.nodes, half), now).select("file", F.size("added").cast("long").alias("added"), F.size("removed").cast("long").alias("removed"))
+    label = F.when(F.col("id").rlike("^(customer|part)_[0-9]*7$"), F.concat("label", F.lit(" (old)"))).otherwise(F.col("label"))
+    found = diff.import_drift(PropertyGraph(now.nodes.withColumn("label", label), now.edges), now, ("imports", "contains"))
+    return found.select("file", F.size("added").cast("long").alias("added"), F.size("removed").cast("long").alias("removed"))
 
 
 @query(

@@ -40,11 +40,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record: source, target, relation, confidence, weight, ord."""
+    """Every record: source, target, relation, confidence, weight, ord. Lines of an order may share all four
+    keys, so weight and confidence complete the order."""
 
     def part(table, source, target, relation, confidence, weight, *ord_):
         ord_ = [F.col(o).cast("long") for o in ord_] + [F.lit(0).cast("long")] * (4 - len(ord_))
-        named = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(ord_)])
+        named = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(ord_)], weight.cast("double").alias("weight"), confidence.alias("confidence"))
         return read(spark, sf_dir, table).select(source.alias("source"), target.alias("target"), F.lit(relation).alias("relation"), confidence.alias("confidence"), weight.cast("double").alias("weight"), named.alias("ord"))
 
     one, sure = F.lit(1.0), F.lit("EXTRACTED")
@@ -125,7 +126,7 @@ raw AS (
   UNION ALL SELECT 'supplier_' || l_suppkey, 'part_' || l_partkey, 'imports', CASE l_returnflag WHEN 'N' THEN 'EXTRACTED' WHEN 'R' THEN 'INFERRED' ELSE 'AMBIGUOUS' END, l_quantity::DOUBLE, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
 edges AS (
   SELECT least(source, target) AS lo, greatest(source, target) AS hi, source, target, relation, confidence, weight FROM raw
-  QUALIFY row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY k0 DESC, k1 DESC, k2 DESC, k3 DESC) = 1),
+  QUALIFY row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY k0 DESC, k1 DESC, k2 DESC, k3 DESC, weight DESC, confidence DESC) = 1),
 adj AS (SELECT source AS id, target AS peer FROM edges UNION SELECT target, source FROM edges),
 degrees AS (SELECT n.id, count(a.peer) AS degree FROM nodes n LEFT JOIN adj a ON a.id = n.id GROUP BY n.id),
 tree AS (SELECT source AS parent, target AS child FROM edges WHERE relation IN ('contains', 'method'))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import STOP_WORDS, SUFFIXES, tokenize
@@ -12,33 +15,33 @@ from . import projection as p
 from .core import query
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_STEM = "CASE " + " ".join(f"WHEN suffix(w, '{s}') AND length(w) > {n}{' AND NOT suffix(w, $$ss$$)' if s == 's' else ''} THEN left(w, -{cut}) || '{add}'" for s, n, cut, add in SUFFIXES) + " ELSE w END"
+_STEM = "CASE " + " ".join(f"WHEN suffix(w, '{s}') AND strlen(w) > {n}{' AND NOT suffix(w, $$ss$$)' if s == 's' else ''} THEN left(w, -{cut}) || '{add}'" for s, n, cut, add in SUFFIXES) + " ELSE w END"
 
 
 def tokens_sql(name: str, source: str, key: str, text: str) -> str:
-    """CTE with one row (key, w) for each token; ASCII texts."""
-    spaced = rf"regexp_replace(regexp_replace({text}, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')"
+    """CTE with one row (key, w) for each token."""
+    spaced = rf"regexp_replace(regexp_replace({text}, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')"
     return f"""{name} AS (
       SELECT {key}, w FROM (SELECT {key}, {_STEM} AS w FROM (
-        SELECT {key}, unnest(regexp_split_to_array(lower({spaced}), '[^a-z0-9]+')) AS w FROM {source}) WHERE length(w) >= 3 AND w NOT IN ({_STOP})) WHERE length(w) >= 3)"""
+        SELECT {key}, unnest(regexp_split_to_array(lower({spaced}), '[^\\p{{L}}\\p{{Nd}}]+')) AS w FROM {source}) WHERE strlen(w) >= 3 AND w NOT IN ({_STOP})) WHERE strlen(w) >= 3)"""
 
 
-EN = "(SELECT doc_id, text FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*'))"
+DOCS = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 
 
-def _english(spark, sf):
-    return p.read(spark, sf, "documents").filter("lang = 'en' AND text rlike '^[\\\\x00-\\\\x7F]*$'").select("doc_id", "text")
+def _documents(spark, sf):
+    return p.read(spark, sf, "documents").select("doc_id", "text")
 
 
-@query(", " + tokens_sql("toks", EN, "doc_id", "text") + " SELECT doc_id, count(*) AS n, count(DISTINCT w) AS terms FROM toks GROUP BY doc_id")
-def tokenize_en(spark, sf):
-    tokens = _english(spark, sf).select("doc_id", tokenize("text").alias("t")).filter("size(t) > 0")
+@query(", " + tokens_sql("toks", DOCS, "doc_id", "text") + " SELECT doc_id, count(*) AS n, count(DISTINCT w) AS terms FROM toks GROUP BY doc_id")
+def tokenize_documents(spark, sf):
+    tokens = _documents(spark, sf).select("doc_id", tokenize("text").alias("t")).filter("size(t) > 0")
     return tokens.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("terms"))
 
 
-_TFIDF = tokens_sql("toks", EN, "doc_id", "text") + f""",
+_TFIDF = tokens_sql("toks", DOCS, "doc_id", "text") + f""",
   cnt AS (SELECT doc_id, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS len FROM toks GROUP BY doc_id, w),
-  idf AS (SELECT w, ln((SELECT count(*) FROM {EN})::DOUBLE / (1 + count(*))) AS idf FROM cnt GROUP BY w),
+  idf AS (SELECT w, ln((SELECT count(*) FROM {DOCS})::DOUBLE / (1 + count(*))) AS idf FROM cnt GROUP BY w),
   wt AS (SELECT doc_id, w, n / len::DOUBLE * idf AS x FROM cnt JOIN idf USING (w))"""
 
 
@@ -46,7 +49,7 @@ _TFIDF = tokens_sql("toks", EN, "doc_id", "text") + f""",
 def tfidf_top_terms(spark, sf):
     from pyspark.sql import Window
 
-    weights = search.term_weights(_english(spark, sf))[1].select("doc_id", "term", F.round("w", 9).alias("weight"))
+    weights = search.term_weights(_documents(spark, sf))[1].select("doc_id", "term", F.round("w", 9).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))
     return weights.withColumn("n", rank).filter("n <= 3").drop("n")
 
@@ -55,7 +58,7 @@ def tfidf_top_terms(spark, sf):
     ", "
     + _TFIDF
     + ", "
-    + tokens_sql("btoks", "(SELECT item_id, text FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))", "item_id", "text")
+    + tokens_sql("btoks", "benchmark", "item_id", "text")
     + """, bcnt AS (SELECT item_id, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY item_id) AS len FROM btoks GROUP BY item_id, w),
        bw AS (SELECT item_id, w, n / len::DOUBLE * idf AS x FROM bcnt JOIN idf USING (w)),
        sc AS (SELECT b.item_id, d.doc_id, sum(b.x * d.x) AS dot FROM bw b JOIN wt d USING (w) GROUP BY ALL),
@@ -64,8 +67,8 @@ def tfidf_top_terms(spark, sf):
        WHERE dot / (bn.n * dn.n) >= 0.25 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY dot / (bn.n * dn.n) DESC, doc_id) <= 5"""
 )
 def tfidf_links(spark, sf):
-    items = p.read(spark, sf, "benchmark").filter("text rlike '^[\\\\x00-\\\\x7F]*$'").select(F.col("item_id").alias("doc_id"), "text")
-    idf, weights = search.term_weights(_english(spark, sf))
+    items = p.read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    idf, weights = search.term_weights(_documents(spark, sf))
     found = search.top_matches(search.sparse_cosine(search.query_weights(items, idf), weights), 5, 0.25)
     return found.select(F.col("doc_a").alias("item_id"), F.col("doc_b").alias("doc_id"), F.round("score", 6).alias("score"))
 
@@ -82,10 +85,20 @@ def fuzzy_search(spark, sf):
     return search.score_nodes(p.graph(spark, sf), "france geo").select("id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT id, 1 AS stage FROM nodes WHERE lower(label) = lower((SELECT n_name || '()' FROM nation WHERE n_nationkey = 7)) ORDER BY id LIMIT 1")
+#: By id, by label in another case, with diacritics, with two letters wrong, and not at all.
+PROBES = ["part_3", "nAtIoN_7()", "Ámérïcä", "Midlle Eest", "no such label anywhere"]
+
+
+@query(
+    f""", probes AS (SELECT unnest({PROBES}) AS probe), n AS (SELECT id, lower(label) AS low, strip_accents(lower(label)) AS norm FROM nodes),
+       s AS (SELECT probe, id, CASE WHEN id = probe THEN 0 WHEN low = lower(probe) THEN 1 WHEN norm = strip_accents(lower(probe)) THEN 2 WHEN levenshtein(norm, strip_accents(lower(probe))) <= {search.EDITS} THEN 3 END AS stage,
+         levenshtein(norm, strip_accents(lower(probe))) AS d FROM n, probes)
+       SELECT probe, id, stage FROM s WHERE stage IS NOT NULL QUALIFY row_number() OVER (PARTITION BY probe ORDER BY stage, CASE stage WHEN 3 THEN d ELSE 0 END, id) = 1"""
+)
 def find_node(spark, sf):
-    name = p.read(spark, sf, "nation").filter("n_nationkey = 7").first()["n_name"]
-    return search.find_node(p.nodes(spark, sf), name.lower() + "()")
+    nodes = p.graph(spark, sf).nodes
+    found = [search.find_node(nodes, probe).select(F.lit(probe).alias("probe"), "id", "stage") for probe in PROBES]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(
@@ -196,29 +209,40 @@ def tree_kernel(spark, sf):
     return trees.tree_kernel(a, b).select(F.round("score", 9).alias("score"))
 
 
-_SCORES = [("g1", "g2", m, s) for m, s in zip(compare.METRICS, (0.9, 0.8, 0.95, 0.7, 0.85, 0.8, 0.6, 0.9, 0.75, 0.65, 0.5), strict=True)] + [
-    ("g1", "g3", m, s) for m, s in zip(compare.METRICS, (0.5, 0.4, 0.85, -1.0, 0.6, 0.7, 0.3, 0.8, 0.55, 0.45, 0.4), strict=True)
-]
-_VALUES = ", ".join(f"('{a}', '{b}', '{m}', {s}::DOUBLE)" for a, b, m, s in _SCORES)
-_METRICS = ", ".join(f"('{m}', {w[0]}::DOUBLE, {w[2]}::DOUBLE, {w[3]})" for m, w in compare.METRICS.items())
+_METRICS = ", ".join(f"('{m}', {w[0]}::DOUBLE, {w[2]}::DOUBLE, {w[3]}, {k})" for k, (m, w) in enumerate(compare.METRICS.items()))
+#: Scores of g1 with each other graph: shares of orders by priority, status and key; one metric of g3 has none.
+_SCORED = f"""w AS (SELECT * FROM (VALUES {_METRICS}) AS v(m, w0, w, is_metric, k)),
+  s AS (SELECT 'g1' AS a, b, m, CASE WHEN b = 'g3' AND k = 3 THEN -1.0 ELSE round(sum(CASE WHEN (o_orderkey * (k + 3)) % 101 < 20 * g + 5 * k THEN 1 ELSE 0 END) / count(*)::DOUBLE, 6) END AS s
+    FROM orders, w, (SELECT 'g' || i AS b, 6 - i AS g FROM range(2, 6) t(i)) GROUP BY b, m, k)"""
+
+
+def _scores(spark, sf):
+    orders = p.read(spark, sf, "orders").select("o_orderkey")
+    metrics = spark.createDataFrame([(m, k) for k, m in enumerate(compare.METRICS)], "metric string, k int")
+    others = spark.createDataFrame([(f"g{i}", 6 - i) for i in range(2, 6)], "label_b string, g int")
+    hit = (F.col("o_orderkey") * (F.col("k") + 3)) % 101 < 20 * F.col("g") + 5 * F.col("k")
+    shares = orders.crossJoin(F.broadcast(metrics.crossJoin(others))).groupBy("label_b", "metric", "k").agg(F.round(F.sum(hit.cast("long")) / F.count(F.lit(1)), 6).alias("score"))
+    none = (F.col("label_b") == "g3") & (F.col("k") == 3)
+    return shares.select(F.lit("g1").alias("label_a"), "label_b", "metric", F.when(none, -1.0).otherwise(F.col("score")).alias("score"))
 
 
 @query(
-    f""", s AS (SELECT * FROM (VALUES {_VALUES}) AS v(a, b, m, s) WHERE s >= 0), w AS (SELECT * FROM (VALUES {_METRICS}) AS v(m, w0, w, is_metric)),
-     x AS (SELECT w, CASE WHEN is_metric THEN 1 - ((1 - p.s) + (1 - q.s)) ELSE least(p.s, q.s) - 0.1 END AS lo, CASE WHEN is_metric THEN 1 - abs(p.s - q.s) ELSE greatest(p.s, q.s) + 0.05 END AS hi
-       FROM s p JOIN s q ON q.m = p.m AND p.b = 'g2' AND q.b = 'g3' JOIN w ON w.m = p.m),
-     y AS (SELECT sum(w * greatest(0, least(1, lo))) / sum(w) AS lo, sum(w * greatest(0, least(1, hi))) / sum(w) AS hi FROM x)
-     SELECT 'g2' AS label_a, 'g3' AS label_b, floor(lo * 1000 + 0.5) / 1000 AS lower, floor(hi * 1000 + 0.5) / 1000 AS upper, floor((lo + hi) / 2 * 1000 + 0.5) / 1000 AS mid FROM y"""
+    f""", {_SCORED},
+     x AS (SELECT p.b AS label_a, q.b AS label_b, w, CASE WHEN is_metric THEN 1 - ((1 - p.s) + (1 - q.s)) ELSE least(p.s, q.s) - 0.1 END AS lo, CASE WHEN is_metric THEN 1 - abs(p.s - q.s) ELSE greatest(p.s, q.s) + 0.05 END AS hi
+       FROM s p JOIN s q ON q.m = p.m AND p.b < q.b AND p.s >= 0 AND q.s >= 0 JOIN w ON w.m = p.m),
+     y AS (SELECT label_a, label_b, sum(w * greatest(0, least(1, lo))) / sum(w) AS lo, sum(w * greatest(0, least(1, hi))) / sum(w) AS hi FROM x GROUP BY ALL)
+     SELECT label_a, label_b, floor(least(lo, hi) * 1000 + 0.5) / 1000 AS lower, floor(greatest(lo, hi) * 1000 + 0.5) / 1000 AS upper, floor((lo + hi) / 2 * 1000 + 0.5) / 1000 AS mid FROM y"""
 )
 def estimate_bounds(spark, sf):
-    return compare.estimate(spark.createDataFrame(_SCORES, "label_a string, label_b string, metric string, score double"))
+    return compare.estimate(_scores(spark, sf))
 
 
-@query(f", s AS (SELECT * FROM (VALUES {_VALUES}) AS v(a, b, m, s)), w AS (SELECT * FROM (VALUES {_METRICS}) AS v(m, w, we, is_metric)) SELECT round(sum(w * s) / sum(w), 9) AS composite FROM s JOIN w USING (m) WHERE b = 'g3' AND w > 0 AND s >= 0")
+@query(f", {_SCORED} SELECT b AS label_b, round(sum(w0 * s) / sum(w0), 9) AS composite FROM s JOIN w USING (m) WHERE w0 > 0 AND s >= 0 GROUP BY b")
 def composite_score(spark, sf):
-    scores = spark.createDataFrame([x[2:] for x in _SCORES if x[1] == "g3"], "metric string, score double")
     weights = compare.weights_table(spark, {m: w[0] for m, w in compare.METRICS.items()})
-    return compare.composite(scores, weights).select(F.round("composite", 9).alias("composite"))
+    scores = _scores(spark, sf)
+    each = [compare.composite(scores.filter(F.col("label_b") == b), weights).select(F.lit(b).alias("label_b"), F.round("composite", 9).alias("composite")) for b in ("g2", "g3", "g4", "g5")]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query(
@@ -234,14 +258,16 @@ def call_top200(spark, sf):
 @query(
     """, calls AS (SELECT 'customer_' || o_custkey AS caller, 'SUPPLIER#' || (o_orderkey % 150) AS callee, o_orderkey AS ord FROM orders),
        idx AS (SELECT lower(regexp_replace(regexp_replace(label, '[()]+$', ''), '^[.]+', '')) AS l, max(id) AS id FROM nodes WHERE id LIKE 'supplier%' GROUP BY 1)
-       SELECT DISTINCT caller AS source, id AS target FROM (SELECT caller, 'supplier#' || lpad(split_part(callee, '#', 2), 9, '0') AS l FROM calls) JOIN idx USING (l)"""
+       SELECT DISTINCT caller AS source, id AS target FROM (SELECT caller, 'supplier#' || lpad(split_part(callee, '#', 2), 9, '0') AS l FROM calls) JOIN idx USING (l)
+       EXCEPT SELECT 'customer_' || o_custkey, 'supplier_' || (o_orderkey % 150) FROM orders WHERE o_orderstatus = 'F'"""
 )
 def cross_file_calls(spark, sf):
     orders = p.read(spark, sf, "orders")
     n = F.lpad((F.col("o_orderkey") % 150).cast("string"), 9, "0")
     calls = orders.select(F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("caller_nid"), F.concat(F.lit("SUPPLIER#"), n).alias("callee"), F.lit(False).alias("is_member_call"), F.lit("").alias("source_file"), F.lit("").alias("source_location"))
     nodes = p.nodes(spark, sf).filter("id LIKE 'supplier%'").withColumn("ord", F.col("id"))
-    return extract_calls.resolve_across_files(calls, nodes, p.raw_edges(spark, sf).limit(0)).select("source", "target")
+    known = orders.filter("o_orderstatus = 'F'").select(F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("supplier_"), (F.col("o_orderkey") % 150).cast("string")).alias("target"))
+    return extract_calls.resolve_across_files(calls, nodes, known).select("source", "target")
 
 
 @query(

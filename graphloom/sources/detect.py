@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import base_name, extension
+from ..operators.rounds import cut
 
 # Extensions by type.
 CODE = ".py .ts .js .jsx .tsx .mjs .ejs .go .rs .java .cpp .cc .cxx .c .h .hpp .rb .swift .kt .kts .cs .scala .php .lua .toc .zig .ps1 .ex .exs .m .mm .jl .vue .svelte .dart .v .sv".split()
@@ -57,7 +59,7 @@ def looks_like_paper(text: Column) -> Column:
 def classify(path: Column, text: Column) -> Column:
     """File type by name and, of documents, by content; null for what isn't read."""
     ext, low = F.lower(extension(path)), F.lower(path)
-    assets = path.rlike(r"\.(xcassets|imageset|appiconset)/")
+    assets = path.rlike(r"\.(xcassets|imageset|appiconset|colorset|launchimage)/")
     return (
         F.when(low.endswith(".blade.php") | ext.isin(CODE), "code")
         .when(ext.isin(PAPER), F.when(~assets, "paper"))
@@ -72,16 +74,60 @@ def word_count(text: Column) -> Column:
     return F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+"))).cast("long")
 
 
+def is_noise(folder: Column) -> Column:
+    """Of a folder's name: hidden, or of a kind that is never read."""
+    return folder.isin(SKIP_FOLDERS) | folder.startswith(".") | folder.endswith("_venv") | folder.endswith("_env") | folder.endswith(".egg-info")
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path relative to ``root``, length, modificationTime) of every file outside noise folders, whatever
+    its name. Folders are listed in tasks, a round for each level of the tree."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    names = ["path", "is_folder", "length", "modificationTime"]
+    types = [pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC")]
+
+    def entries(batches):
+        system, base = _file_system(root)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
+                rows = [(f"{folder}/{i.base_name}" if folder else i.base_name, i.type == fs.FileType.Directory, i.size or 0, i.mtime) for i in found]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    folders, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        level = cut(folders.repartition("path").mapInArrow(entries, "path string, is_folder boolean, length long, modificationTime timestamp"))
+        levels.append(level.filter("not is_folder").drop("is_folder"))
+        folders = level.filter(F.col("is_folder") & ~is_noise(base_name("path"))).select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def _file_system(root: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/*", "/", root.rstrip("/")))
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to ``root``, content, text; text is null where the bytes aren't UTF-8) of every
-    file. Listing, reading and decoding are Spark's, so any file system will do; Spark's listing
-    leaves out names that begin with a dot or an underscore."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.sub(r"^file:/*", "/", root.rstrip("/"))
-    plain = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
-    relative = F.regexp_replace(plain, "^.*?" + re.escape(base) + "/", "")
+    """list_tree's columns with content and text (null where the bytes aren't UTF-8)."""
+    import pyarrow as pa
+
+    names = ["path", "content", "length", "modificationTime"]
+
+    def contents(batches):
+        system, base = _file_system(root)
+        for b in batches:
+            for i in range(b.num_rows):
+                with system.open_input_stream(f"{base}/{b.column(0)[i].as_py()}") as f:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([f.read()], pa.binary()), b.column(1).slice(i, 1), b.column(2).slice(i, 1)], names)
+
+    files = list_tree(spark, root).mapInArrow(contents, "path string, content binary, length long, modificationTime timestamp")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.select(relative.alias("path"), "content", F.when(valid, F.col("content").cast("string")).alias("text"), "length", "modificationTime")
+    return files.withColumn("text", F.when(valid, F.col("content").cast("string")))
 
 
 class IgnoreRule:
@@ -110,6 +156,23 @@ def parse_ignore(folder: str, text: str, may_negate: bool = False, first: int =
     return [IgnoreRule(folder, x, first + i, may_negate) for i, x in enumerate(lines) if x and not x.startswith("#")]
 
 
+#: Names of ignore files; only in the second a line may take a file in again.
+IGNORE_FILES = (".gitignore", ".graphloomignore")
+
+
+def ignore_rules(files: DataFrame) -> list[IgnoreRule]:
+    """Rules of all ignore files among ``files`` (path, text), outer folders first, so that inner ones
+    decide. Ignore files are few: at most two a folder."""
+    found = files.filter(base_name("path").isin(*IGNORE_FILES) & F.col("text").isNotNull()).select("path", "text").collect()
+    rules: list[IgnoreRule] = []
+    for r in sorted(found, key=lambda r: (r["path"].count("/"), r["path"].rpartition("/")[0], IGNORE_FILES.index(r["path"].rpartition("/")[2]))):
+        folder, _, name = r["path"].rpartition("/")
+        negatable = name == IGNORE_FILES[1]
+        lines = r["text"] if negatable else "\n".join(x for x in r["text"].splitlines() if not x.strip().startswith("!"))
+        rules += parse_ignore(folder, lines, negatable, len(rules))
+    return rules
+
+
 def is_ignored(path: Column, rules: list[IgnoreRule]) -> Column:
     """The last rule that matches decides. Rules of a tree are few."""
     out = F.lit(False)
@@ -120,13 +183,15 @@ def is_ignored(path: Column, rules: list[IgnoreRule]) -> Column:
 
 def detect(files: DataFrame, rules: list[IgnoreRule] | None = None) -> DataFrame:
     """(path, file_type, words, skipped) of ``files`` (path, text): hidden and noise folders,
-    submodules, lock files, ignored and unknown files are left out; sensitive ones stay as skipped."""
+    submodules, lock files, ignored and unknown files are left out; sensitive ones stay as skipped.
+    Unless ``rules`` are given, they are those of the ignore files among ``files``."""
+    rules = ignore_rules(files) if rules is None else rules
     submodules = files.filter(base_name("path") == ".git").filter(F.col("text").startswith("gitdir:")).select(F.regexp_replace("path", r"/?\.git$", "").alias("folder")).filter("folder != ''")
     parts = F.split("path", "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
-    noise = F.exists(folders, lambda x: x.isin(SKIP_FOLDERS) | x.startswith(".") | x.endswith("_venv") | x.endswith("_env") | x.endswith(".egg-info"))
+    noise = F.exists(folders, is_noise)
     hidden = base_name("path").startswith(".") & ~is_sensitive(base_name("path"))
-    kept = files.filter(~noise & ~hidden & ~base_name("path").isin(SKIP_FILES) & ~is_ignored(F.col("path"), rules or []))
+    kept = files.filter(~noise & ~hidden & ~base_name("path").isin(SKIP_FILES) & ~is_ignored(F.col("path"), rules))
     kept = kept.join(submodules, F.col("path").startswith(F.concat("folder", F.lit("/"))), "left_anti")
     secret = is_sensitive(base_name("path"))
     typed = kept.select("path", classify(F.col("path"), F.coalesce("text", F.lit(""))).alias("file_type"), F.when(secret, F.lit(0)).otherwise(F.coalesce(word_count(F.col("text")), F.lit(0))).cast("long").alias("words"), secret.alias("skipped"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.graph import PropertyGraph, overwrite_edges
+from ..operators.graph import PropertyGraph, overwrite_edges, upsert_nodes, with_columns_of
 from ..schema import EDGE, NODE
 
 _GRAPH = T.StructType(
@@ -31,13 +31,15 @@ _GRAPH = T.StructType(
 
 def load_node_link(spark: SparkSession, path: str) -> PropertyGraph:
     """From one node-link document; nodes without id and links without an endpoint are left out.
-    ``_src`` and ``_tgt`` give an edge's direction where present."""
+    Of nodes that repeat each attribute's last value counts, and endpoints that are no nodes become
+    nodes without attributes. ``_src`` and ``_tgt`` give an edge's direction where present."""
     document = spark.read.schema(_GRAPH).json(path, multiLine=True)
-    nodes = document.select(F.inline("nodes")).filter("id is not null").dropDuplicates(["id"])
+    nodes = upsert_nodes(document.select(F.posexplode("nodes").alias("ord", "n")).select("ord", "n.*"))
     links = document.select(F.posexplode("links").alias("ord", "l")).select("ord", "l.*").filter("source is not null AND target is not null")
     links = links.withColumns({"source": F.coalesce("_src", "source"), "target": F.coalesce("_tgt", "target")}).drop("_src", "_tgt")
     directed = bool(document.select(F.coalesce("directed", F.lit(False))).head()[0])
-    return PropertyGraph(nodes, overwrite_edges(links, directed=directed), directed)
+    ends = links.select(F.explode(F.array("source", "target")).alias("id")).distinct().join(nodes, "id", "left_anti")
+    return PropertyGraph(nodes.unionByName(with_columns_of(ends, nodes.schema)), overwrite_edges(links, directed=directed), directed)
 
 
 def load_node_link_folders(spark: SparkSession, path: str, directed: bool = False) -> PropertyGraph:

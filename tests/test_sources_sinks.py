@@ -106,6 +106,26 @@ def test_detection(spark, tmp_path):
     assert detect.not_cached(tree, cache).count() == 0 and detect.not_cached(tree, cache.limit(0)).count() == 1
 
 
+def test_ignore_files_and_names_that_begin_with_an_underscore(spark, tmp_path):
+    for name, text in {
+        "pkg/__init__.py": "x", "pkg/_own.py": "y", "pkg/deep/a.py": "z", "pkg/deep/b.py": "z", "gen/x.py": "g", "log.md": "l", "pkg/log.md": "l", ".gitignore": "gen/\n/log.md\n!gen/x.py\n",
+        "pkg/deep/.gitignore": "*.py\n", "pkg/deep/.graphloomignore": "!b.py\n", ".git/config": "c", "node_modules/m/i.js": "n",
+    }.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    tree = detect.read_tree(spark, f"file://{tmp_path}")
+    assert {r["path"] for r in detect.detect(tree).collect()} == {"pkg/__init__.py", "pkg/_own.py", "pkg/deep/b.py", "pkg/log.md"}
+    assert {r["path"] for r in detect.list_tree(spark, str(tmp_path)).collect()} >= {".gitignore", "pkg/__init__.py"}
+
+
+def test_node_link_repeats_and_unknown_endpoints(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{"nodes":[{"id":"a","label":"old","file_type":"code"},{"id":"a","label":"new"}],"links":[{"source":"a","target":"b","relation":"calls"},{"source":"b","target":"a","relation":"uses"}]}')
+    g = files.load_node_link(spark, str(tmp_path / "g.json"))
+    assert {r["id"]: (r["label"], r["file_type"]) for r in g.nodes.collect()} == {"a": ("new", "code"), "b": (None, None)}
+    assert [r["relation"] for r in g.edges.collect()] == ["uses"]
+
+
 def test_node_link_round_trip(spark, tmp_path):
     g = server(spark)
     export.write_node_link(g, str(tmp_path / "g"))

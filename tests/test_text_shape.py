@@ -1,7 +1,11 @@
+import functools
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from graphloom.functions import strings as S
-from graphloom.operators import align, community, compare, diff, search, semantic, trees
+from graphloom.operators import align, community, compare, diff, search, semantic, traverse, trees
 from graphs import communities, edges_of, server, small
 
 
@@ -95,12 +99,56 @@ def test_trees(spark):
     bigger = tree(spark, [("f", "a"), ("f", "b"), ("a", "c"), ("a", "d")])
     hb = trees.subtree_hashes(bigger)
     assert trees.edit_distance(t, bigger).first().asDict() == {"distance": 1, "similarity": 1 - 1 / 9, "exact": True}
+    rooted, forest = tree(spark, [("r", "x"), ("r", "y")]), tree(spark, [], extra=["x", "y"])
+    assert trees.edit_distance(rooted, forest).first()["distance"] == 0  # only a forest gets a root above it
     assert trees.edit_distance(t, t, True).first()["distance"] == 0
     assert value(trees.common_subtrees(t, bigger, h, hb), "score") == 2 / 5  # b, and c or d
     assert value(trees.anti_unification(t, bigger, h, hb), "score") == 4 / 5
     assert 0 < value(trees.tree_kernel(t, bigger), "score") < 1
 
 
+def test_edit_distance_equals_the_recursion():
+    rng = random.Random(3)
+
+    def random_tree(n):
+        parents = [None] + [f"{rng.randrange(i):02d}" if rng.random() < 0.8 else None for i in range(1, n)]
+        return pd.DataFrame({"id": [f"{i:02d}" for i in range(n)], "parent": parents, "kind": [rng.choice("ab") for _ in range(n)]})
+
+    def nested(t):
+        below = lambda i: (t["kind"][int(i)], tuple(map(below, t["id"][t["parent"] == i])))
+        roots = tuple(map(below, t["id"][t["parent"].isna()]))
+        return roots if len(roots) == 1 else (("virtual", roots),)
+
+    size = functools.cache(lambda f: sum(1 + size(k) for _, k in f))
+
+    @functools.cache
+    def distance(f, g, semantic):
+        if not f or not g:
+            return size(f) + size(g)
+        (x, a), (y, b) = f[-1], g[-1]
+        both = distance(f[:-1], g[:-1], semantic) + distance(a, b, semantic) + (semantic and x != y)
+        return min(distance(f[:-1] + a, g, semantic) + 1, distance(f, g[:-1] + b, semantic) + 1, both)
+
+    for _ in range(150):
+        a, b = random_tree(rng.randint(1, 8)), random_tree(rng.randint(1, 8))
+        for semantic in (False, True):
+            assert trees._ordered_distance(a, b, semantic) == distance(nested(a), nested(b), semantic)
+
+
+def test_unlike_children_pair_by_nearest_size():
+    table = lambda a, b: pd.DataFrame([("p", "q", "a", *x) for x in a] + [("p", "q", "b", *x) for x in b], columns=["id_a", "id_b", "side", "sub_size", "n"])
+    dealt = lambda a, b: [tuple(r)[2:] for r in trees._by_nearest_size(table(a, b)).itertuples(index=False)]
+    assert dealt([(9, 1), (5, 2)], [(6, 1), (4, 1), (2, 3)]) == [(9, 0, 6, 0, 1), (5, 0, 4, 0, 1), (5, 1, 2, 0, 1)]
+    assert dealt([(5, 3)], [(6, 1), (4, 1)]) == [(5, 0, 6, 0, 1), (5, 1, 4, 0, 1)]
+    assert dealt([], [(3, 1)]) == []
+
+
+def test_impact_ranks_removed_nodes_on_the_old_graph(spark):
+    a, b = small(spark, [("hub", x, "calls") for x in "abc"]), small(spark, [("new", "a", "calls")], extra=["b", "c", "lone"])
+    got = [(r["id"], r["change"], r["affected"]) for r in traverse.ranked_impact(a, b, diff.diff_nodes(a, b), 1).collect()]
+    assert got == [("hub", "removed", 3), ("new", "added", 1)]
+
+
 def test_a_containment_cycle_is_opened(spark):
     t = tree(spark, [("b", "a"), ("c", "b"), ("a", "c"), ("c", "z")])
     assert {r["id"]: r["depth"] for r in t.collect()} == {"a": 0, "c": 1, "b": 2, "z": 2}
