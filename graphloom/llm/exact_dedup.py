@@ -54,9 +54,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts:
 
     Where several rows share the winning id, the one with the largest other columns stays.
     """
-    groups = duplicate_groups(docs, doc_id, text, salts).drop("group_size")
+    key = ["_sha", "_h", "_n", "_none", "_some"]  # equality that holds between nulls, in columns that join and aggregation share
+    of = lambda c: [F.col(c).isNull().alias("_none"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_some")]
+    groups = duplicate_groups(docs, doc_id, text, salts).select("_sha", "_h", "_n", *of("keep_id"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(F.col(doc_id).alias("_id"), _norm(text).alias("_norm"), row).select("_id", "_row", *_keyed("_norm"))
-    same = (rows["_sha"] == groups["_sha"]) & (rows["_h"] == groups["_h"]) & (rows["_n"] == groups["_n"])
-    kept = rows.join(groups, same & rows["_id"].eqNullSafe(groups["keep_id"])).select(rows["_sha"], rows["_h"], rows["_n"], "_row")
-    return kept.groupBy("_sha", "_h", "_n").agg(F.max("_row").alias("_row")).select("_row.*")
+    rows = docs.select(F.col(doc_id).alias("_id"), _norm(text).alias("_norm"), row).select("_row", *_keyed("_norm"), *of("_id"))
+    return rows.join(groups, key).groupBy(*key).agg(F.max("_row").alias("_row")).select("_row.*")
