@@ -11,6 +11,7 @@ from ..functions.strings import STOP_WORDS, SUFFIXES, tokenize
 from ..operators import align, compare, extract_calls, search, trees
 from ..operators.graph import PropertyGraph
 from ..sinks import export
+from ..sources import detect
 from . import projection as p
 from .core import query
 
@@ -281,6 +282,28 @@ def debounce_sessions(spark, sf):
     return debounce(p.read(spark, sf, "events"), "3 seconds", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("events").alias("events"))
 
 
+#: Endings given to the documents in turn, as if they were files.
+ENDINGS = [".py", ".md", ".txt", ".pdf", ".png", ".mp4", ".docx", ".bin", ".go", "_token.py"]
+_SIGNS = " + ".join(f"regexp_matches(head, $${sign}$$)::INTEGER" for sign in detect.PAPER_SIGNS)
+
+
+@query(
+    f""", f AS (SELECT doc_id, {ENDINGS}[doc_id % 10 + 1] AS ending, coalesce(text, '') AS text, left(coalesce(text, ''), {detect.PAPER_BYTES}) AS head FROM documents WHERE doc_id % 7 <> 3),
+       t AS (SELECT doc_id, ending = '_token.py' AS skipped, CASE WHEN ending IN ('.py', '.go', '_token.py') THEN 'code' WHEN ending = '.pdf' THEN 'paper' WHEN ending = '.png' THEN 'image' WHEN ending = '.mp4' THEN 'video' WHEN ending = '.docx' THEN 'document'
+           WHEN ending IN ('.md', '.txt') THEN CASE WHEN {_SIGNS} >= {detect.PAPER_LEAST} THEN 'paper' ELSE 'document' END END AS file_type,
+         len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS words FROM f)
+       SELECT file_type, skipped, count(*) AS files, sum(CASE WHEN skipped THEN 0 ELSE words END)::BIGINT AS words FROM t WHERE file_type IS NOT NULL GROUP BY ALL"""
+)
+def detect_files(spark, sf):
+    """The documents as files of ten kinds, a seventh of them in a folder that an ignore file names."""
+    docs = p.read(spark, sf, "documents")
+    ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("doc_id") % 10 + 1).cast("int"))
+    folder = F.when(F.col("doc_id") % 7 == 3, "old/").otherwise("src/")
+    rules = spark.createDataFrame([(".gitignore", "old/\n")], "path string, text string")
+    found = detect.detect(docs.select(F.concat(folder, F.lit("f"), F.col("doc_id").cast("string"), ending).alias("path"), "text").unionByName(rules), detect.ignore_rules(rules))
+    return found.groupBy("file_type", "skipped").agg(F.count(F.lit(1)).alias("files"), F.sum("words").alias("words"))
+
+
 def graph_alignment(spark, sf):
     """The earlier version against the later, renamed parts to be found again by structure."""
     return align.align(p.earlier(spark, sf), p.graph(spark, sf))
