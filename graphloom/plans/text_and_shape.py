@@ -282,6 +282,28 @@ def debounce_sessions(spark, sf):
     return debounce(p.read(spark, sf, "events"), "3 seconds", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("events").alias("events"))
 
 
+@query(
+    """SELECT 'MERGE (n:Entity {id: $' || id || '$}) SET n.label = $' || label || '$, n.file_type = $' || file_type || '$, n.source_file = $' || source_file || '$;' AS value FROM nodes
+       UNION ALL SELECT 'MATCH (a:Entity {id: $' || source || '$}), (b:Entity {id: $' || target || '$}) MERGE (a)-[:' || upper(relation) || ' {confidence: $' || confidence || '$}]->(b);' FROM edges"""
+    .replace("$", "''")
+)
+def export_cypher(spark, sf):
+    """No label here holds a quote, so this says nothing of escaping."""
+    return export.cypher(p.graph(spark, sf))
+
+
+@query(
+    """SELECT '<node id="' || id || '"><data key="label">' || label || '</data><data key="file_type">' || file_type || '</data><data key="source_file">' || source_file || '</data><data key="community">' || coalesce(community_id, 0) || '</data></node>' AS value
+         FROM nodes LEFT JOIN fine ON node_id = id
+       UNION ALL SELECT '<edge source="' || source || '" target="' || target || '"><data key="relation">' || relation || '</data><data key="confidence">' || confidence || '</data><data key="weight">' || weight || '</data></edge>' FROM edges""",
+    p.PARTITION_SQL,
+)
+def export_graphml(spark, sf):
+    """Without the lines of the head and the end, which hold no data."""
+    lines = export.graphml(p.graph(spark, sf), p.by_nation(spark, sf))
+    return lines.filter("value LIKE '<node %' OR value LIKE '<edge %'")
+
+
 #: Endings given to the documents in turn, as if they were files.
 ENDINGS = [".py", ".md", ".txt", ".pdf", ".png", ".mp4", ".docx", ".bin", ".go", "_token.py"]
 _SIGNS = " + ".join(f"regexp_matches(head, $${sign}$$)::INTEGER" for sign in detect.PAPER_SIGNS)
