@@ -1,11 +1,12 @@
-"""Cutting lineage in iterative operators, with written tables."""
+"""Written tables: cutting lineage in iterative operators, and ranks over all rows."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(rows: DataFrame, name: str, *keys: Column | str) -> DataFrame:
+    """``rows`` with ``name``, gapless from 0 in the order of ``keys``. Ranges of the keys are sorted apart,
+    each in a task; a range's first rank is the number of rows in the ranges before."""
+    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at") - F.shiftleft("_range", 33)).drop("_at", "_range", "_start")

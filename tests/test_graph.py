@@ -158,3 +158,13 @@ def test_point_queries(spark):
     assert [n for n, _ in r.path("main_main", "handler_validateinput")] == ["main_main", "main_go", "go_pkg_fmt", "handler_validateinput"]
     assert ids(r.search_comments("shutting")) == ["main_server_stop"] and ids(r.search_nodes("validate"))[0] == "handler_validateinput"
     assert r.subgraph("main_server", 1).count() == 5 and ids(r.walk_chain("main_go", "contains")) == ["main_go", "main_main", "main_server"]
+
+
+def test_ranks_go_on_across_ranges(spark):
+    from graphloom.operators.rounds import ranked
+
+    rows = spark.createDataFrame([(i % 7, f"n{i:03d}") for i in range(200)], "n int, least string").repartition(5)
+    got = sorted(ranked(rows, "place", F.desc("n"), F.asc("least")).collect(), key=lambda r: r.place)
+    assert [r.place for r in got] == list(range(200))
+    assert [(r.n, r.least) for r in got] == sorted(((r.n, r.least) for r in got), key=lambda x: (-x[0], x[1]))
+    assert ranked(rows.limit(0), "place", "n").count() == 0
