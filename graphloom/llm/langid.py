@@ -12,6 +12,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -24,7 +25,10 @@ DECLARED, SUFFIX = 0.9, 0.7
 STRENGTH = 5.0
 #: Labelled rows of each language, about, that the likelihood is fitted on.
 SAMPLE = 3000
+#: Share of the labelled rows that a label needs to be a language, which bounds their number by 1 / SUPPORT.
+SUPPORT = 0.001
 UNKNOWN = "und"
+_OUT = ["lang", "confidence", "text_lang", "n", "accepted"]
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -57,14 +61,17 @@ class Model(NamedTuple):
         return self.log_p[:, at].astype(np.float64) @ n / len(t), len(t)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, support: float = SUPPORT) -> Model:
     """Fit on about ``sample`` rows of each language (all, if fewer), chosen by a hash of the
-    text; null texts and labels are left out. Counts are summed on the workers and the
+    text; null texts and labels are left out, and so are labels of less than
+    ``support`` of the rows: their texts go to another language or to ``und``. Counts are summed on the workers and the
     result has at most languages x BUCKETS figures."""
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = materialize(rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "labels")
+    total = labels.agg(F.sum("n")).head()[0] or 0
+    sizes = {r["l"]: r["n"] for r in labels.filter(F.col("n") >= support * total).collect()}  # at most 1 / support
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))]) if sizes else F.create_map()
-    chosen = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20)) if sizes else rows
+    chosen = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.try_element_at(share, F.col("l")) * (1 << 20)) if sizes else rows
 
     def counted(batches):
         import pyarrow as pa
@@ -91,8 +98,10 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
     normalised text likelihoods times those of declaration and suffix."""
     import pyarrow as pa
 
-    names = [f.name for f in rows.schema if f.name not in ("text", "declared", "suffix")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
+    kept = [f for f in rows.schema if f.name not in ("text", "declared", "suffix")]
+    names = [f.name for f in kept]
+    added = {"n": T.LongType(), "best": T.DoubleType(), "text_lang": T.StringType(), "belief": T.ArrayType(T.DoubleType())}
+    schema = T.StructType([*kept, *(T.StructField(k, t) for k, t in added.items())])
     index = {k: i for i, k in enumerate(model.languages)}
 
     def read(batches):
@@ -117,7 +126,7 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
                 [*(b.column(x) for x in names), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(lang, pa.string()), pa.array(beliefs, pa.list_(pa.float64()))], [*names, "n", "best", "text_lang", "belief"]
             )
 
-    return rows.mapInArrow(read, f"{schema}, n long, best double, text_lang string, belief array<double>")
+    return rows.mapInArrow(read, schema)
 
 
 def _sums(k: int) -> Column:
@@ -136,12 +145,14 @@ def identify(rows: DataFrame, model: Model, accept: float = 0.5) -> DataFrame:
     Each null piece of evidence is left out: a null host takes its prior from null as a host of
     its own. A row without letters (null, empty, symbols) is ``und`` and not accepted; one that no
     language explains better than uniform noise, or whose best language has a posterior under
-    ``accept``, is not accepted. Rows that repeat are judged alike. The host's counts hold the
+    ``accept``, is not accepted. Rows that repeat are judged alike. Keys may have any name; one
+    that is named like a result gives way to it. The host's counts hold the
     row itself, which weighs no more than one row.
     """
     k = len(model.languages)
     names = [c for c in rows.columns if c not in ("text", "declared", "suffix", "domain", "host")]
-    clean = rows.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("domain", "host")}).withColumn("top", F.coalesce("suffix", F.lit("")))
+    keys = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c not in _OUT]).alias("keys")
+    clean = rows.select(keys, "text", "declared", "suffix", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("domain", "host")], F.coalesce("suffix", F.lit("")).alias("top"))
     seen = materialize(_evidence(clean, model), "language-evidence")
     voting = seen.filter("n > 0")
     hosts = voting.groupBy("top", "domain", "host").agg(_sums(k).alias("c"), F.count(F.lit(1)).alias("size"))
@@ -159,7 +170,7 @@ def identify(rows: DataFrame, model: Model, accept: float = 0.5) -> DataFrame:
     confidence = F.when(known & (F.col("total") > 0), F.col("most") / F.col("total")).otherwise(0.0)
     out = fused.withColumn("confidence", confidence).withColumn("lang", F.when(known, F.coalesce(named, F.lit(UNKNOWN))).otherwise(UNKNOWN))
     accepted = known & (F.col("confidence") >= accept) & (F.col("best") > -float(np.log(BUCKETS)))
-    return out.select(*names, "lang", "confidence", "text_lang", "n", accepted.alias("accepted"))
+    return out.withColumn("accepted", accepted).select(*[F.col(f"keys.`{c}`").alias(c) for c in names if c not in _OUT], *_OUT)
 
 
 def visible_text(html: Column) -> Column:

@@ -46,6 +46,38 @@ def test_search_of_odd_vectors(spark, monkeypatch):
     assert collision_ann.collision_search(df, df.limit(0)).count() == 0
 
 
+def test_search_over_many_blocks_and_scales(spark, monkeypatch):
+    """The first block bounds the others; sizes of vectors from 1e-200 to 1e200 change no cosine."""
+    monkeypatch.setattr(collision_ann, "BLOCK", 60)
+    monkeypatch.setattr(collision_ann, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((900, 24)) + 2 * rng.standard_normal((30, 24))[rng.integers(0, 30, 900)]
+    size = 10.0 ** rng.integers(-200, 200, 900)
+    df = spark.createDataFrame([(i, (x * k).tolist()) for i, (x, k) in enumerate(zip(v, size, strict=True))], "vec_id long, embedding array<double>")
+    got = collision_ann.collision_search(df, df.filter("vec_id % 50 = 0"), 5).toPandas()
+    true = nearest(range(900), v, range(0, 900, 50), 5)
+    found = got.groupby("query_id")["id"].apply(set)
+    assert np.mean([len(found[q] & set(ids)) / 5 for q, ids in true.items()]) >= 0.95
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    assert all(abs(r.score - u[r.query_id] @ u[r.id]) < 1e-12 for r in got.itertuples())
+
+
+def test_rare_labels_and_clashing_keys(spark):
+    texts = [("en", "the house and the garden of the king"), ("fr", "la maison et le jardin du roi")]
+    docs = spark.createDataFrame([(t, k) for k, t in texts for _ in range(60)] + [("xyz xyz", "zz")], "text string, lang string")
+    model = langid.fit(docs, support=0.05)
+    assert model.languages == ["en", "fr"]
+    none = F.lit(None).cast("string")
+    clash = ["n", "best", "belief", "w", "most", "total", "prior", "top", "keys", "size", "a.b", "lang"]
+    rows = spark.createDataFrame([(7, t, *[str(i)] * len(clash)) for i, (_, t) in enumerate(texts * 2)] + [(8, "word " * 200_000, *["9"] * len(clash))], "k long, text string, " + ", ".join(f"`{c}` string" for c in clash))
+    full = rows.withColumns({"declared": none, "suffix": none, "domain": none, "host": F.lit("h")})
+    got = langid.identify(full, model)
+    assert got.columns == ["k", *[c for c in clash if c not in ("n", "lang")], "lang", "confidence", "text_lang", "n", "accepted"]
+    said = {(r.best, r["a.b"], r.lang) for r in got.collect() if r.k == 7}
+    assert said == {("0", "0", "en"), ("1", "1", "fr"), ("2", "2", "en"), ("3", "3", "fr")} and got.count() == 5
+    assert langid.identify(full.drop("k", *[c for c in clash if c != "a.b"]).drop("`a.b`").drop("a.b"), model).count() == 5
+
+
 def test_url_parts_and_rules(spark):
     urls = ["HTTP://WWW.Example.ORG/es/1?x#y", "a://b://c/d", "no scheme", None, "http://h?q", "http://EXAMPLE.org/en/12", "https://x.com/fr/a", "https://com/de/", "https://xcom/fr/", "http://a.org", ""]
     rows = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
