@@ -361,3 +361,17 @@ def view_edges(spark, sf):
 )
 def export_node_link(spark, sf):
     return export.node_link_json(p.graph(spark, sf))
+
+
+@query(
+    """, b AS (SELECT *, regexp_replace(label, '[()#]', '_', 'g') AS base FROM nodes), n AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY id) AS k FROM b),
+       m AS (SELECT *, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS name FROM n),
+       l AS (SELECT a.id, list_sort(list(DISTINCT name)) AS names FROM adj a JOIN m ON m.id = a.peer GROUP BY a.id)
+       SELECT name, concat_ws(chr(10), '# ' || label, 'type: ' || file_type, 'file: ' || source_file, 'community: [[_community_' || community_id || ']]', coalesce(array_to_string(list_transform(names, lambda x: '- [[' || x || ']]'), chr(10)), '')) AS value
+       FROM m LEFT JOIN l USING (id) LEFT JOIN fine ON node_id = id""",
+    p.PARTITION_SQL,
+)
+def export_notes(spark, sf):
+    """The notes of nodes; all orders of a status share a label, so their notes are numbered."""
+    notes = export.obsidian(p.graph(spark, sf), p.by_nation(spark, sf))
+    return notes.filter("NOT startswith(name, '_community_')")

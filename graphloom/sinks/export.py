@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import cypher_escape, safe_name, xml_escape
 from ..operators import analyze, community
 from ..operators.graph import PropertyGraph
+from ..operators.rounds import ranked
 
 MERMAID_NODES = 200
 # Behaviours that style a node, the first that it has.
@@ -97,10 +98,10 @@ def mermaid(graph: PropertyGraph, communities: DataFrame | None = None, labels:
 def obsidian(graph: PropertyGraph, communities: DataFrame) -> DataFrame:
     """(name, value): a note for each node, linking its neighbours, and one for each community. Names
     that are equal in any case get a number."""
-    from pyspark.sql import Window
-
     base = F.when(F.trim(safe_name(F.coalesce("label", "id"))) == "", F.col("id")).otherwise(F.trim(safe_name(F.coalesce("label", "id"))))
-    named = graph.nodes.withColumn("base", base).withColumn("n", F.row_number().over(Window.partitionBy(F.lower("base")).orderBy("id")))
+    # a name that many nodes share is numbered by ranges as well
+    placed = ranked(graph.nodes.withColumn("base", base).withColumn("low", F.lower("base")), "place", "low", "id")
+    named = placed.join(placed.groupBy("low").agg(F.min("place").alias("first")), "low").withColumn("n", F.col("place") - F.col("first") + 1)
     named = named.withColumn("name", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("n").cast("string"))))
     links = graph.adjacency().join(named.select(F.col("id").alias("peer"), F.col("name").alias("to")), "peer").groupBy("id").agg(F.array_sort(F.collect_set("to")).alias("links"))
     joined = named.join(links, "id", "left").join(communities.select(F.col("node_id").alias("id"), "community_id"), "id", "left")
