@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import collision_ann, compact_windows, harmonic, hilbert, langid, raking, setsketch, sst, url_filter
+from . import annular_codes, collision_ann, compact_windows, cross_tokens, harmonic, hilbert, langid, nra_topk, raking, setsketch, sst, url_filter
 from .common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -131,6 +131,55 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(pages, model)
 
 
+def op11_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = annular_codes.train_and_encode(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(None).cast("string")
+    for dim, book in books.items():
+        digest = F.when(F.col("dim") == dim, F.sha2(F.lit(annular_codes.said(book)), 256)).otherwise(digest)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    out = annular_codes.with_label_error(coded)
+    return out.select("vec_id", code.alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Each round as two steps, whose tables are computed once."""
+    nearest = """SELECT v.vec_id, v.p, min(list_sum([(v.x[i] - b.x[i]) * (v.x[i] - b.x[i]) FOR i IN range(1, len(v.x) + 1)])::HUGEINT * 256 + b.e) AS best
+      FROM parts v JOIN {book} b USING (p) GROUP BY v.vec_id, v.p"""
+    out = [
+        "kept AS MATERIALIZED (SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)",
+        f"parts AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) r(p))",
+        f"b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for i in range(rounds):
+        out.append(f"a{i} AS MATERIALIZED ({nearest.format(book=f'b{i}')})")
+        out.append(f"""b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (
+          SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM (
+            SELECT p, (best % 256)::BIGINT AS e, j, sum(x[j])::HUGEINT AS s, count(*) AS n FROM a{i} JOIN parts USING (vec_id, p), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j) GROUP BY ALL)
+          GROUP BY p, e) m USING (p, e))""")
+    return f"""WITH {", ".join(out)}, last AS MATERIALIZED ({nearest.format(book=f"b{rounds}")}),
+      said AS (SELECT sha256(string_agg(x[j]::VARCHAR, ',' ORDER BY p, e, j)) AS s FROM b{rounds}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j)),
+      coded AS (SELECT vec_id, string_agg(printf('%02x', (best % 256)::INT), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM last GROUP BY vec_id)
+      SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT s FROM said) AS codebooks_sha256 FROM coded JOIN kept USING (vec_id)"""
+
+
+def op12_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = nra_topk.top_products(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -144,6 +193,9 @@ QUERIES = {
         op8_compact_windows,
         op9_harmonic_packing,
         op10_language_fusion,
+        op11_annular_codes,
+        op12_nra_topk,
+        op13_cross_tokens,
     )
 }
-ORACLES = {"op4_setsketch_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_raked_mixture": _op7_sql()}
+ORACLES = {"op4_setsketch_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_raked_mixture": _op7_sql(), "op11_annular_codes": _op11_sql(), "op12_nra_topk": OP12_SQL}
