@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from graphloom.plans import core, parts, text_and_shape
+from graphloom.plans import core, parts, source_trees, text_and_shape
 
 SF = "/root/testdata/sf0.001"
 ALL = core.QUERIES | text_and_shape.EXTRA
