@@ -55,9 +55,11 @@ def weights_table(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
 
 
 def composite(scores: DataFrame, weights: DataFrame) -> DataFrame:
-    """One row, ``composite``: weighted mean of (metric, score) over metrics with a weight and a score of 0 or more."""
-    used = scores.join(weights, "metric").filter("weight > 0 AND score >= 0")
-    return used.agg(F.coalesce(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), F.lit(0.0)).alias("composite"))
+    """One row, ``composite``: weighted mean of (metric, score) over metrics with a weight and a score of 0 or more;
+    null if the score of a metric with a weight is null, rather than a mean of the others."""
+    used = scores.join(weights, "metric").filter("weight > 0 AND (score >= 0 OR score IS NULL)")
+    mean = F.coalesce(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), F.lit(0.0))
+    return used.agg(F.when(F.coalesce(F.max(F.col("score").isNull()), F.lit(False)), None).otherwise(mean).alias("composite"))
 
 
 def tree_scores(a: PropertyGraph, b: PropertyGraph, semantic: bool = False) -> DataFrame:

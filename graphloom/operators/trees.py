@@ -136,7 +136,8 @@ def _kernel_values(tree: DataFrame, hashes: DataFrame) -> DataFrame:
         h += 1
         known = reduce(DataFrame.unionByName, out)
         mine = kids.filter(F.col("height") == h).join(known.select(F.col("ahu").alias("child_ahu"), "k"), "child_ahu")
-        out.append(cut(mine.groupBy("ahu").agg((F.log(F.lit(lam)) + F.sum(F.log1p(F.exp("k")))).alias("k"))))
+        one_more = F.greatest(F.col("k"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("k")))  # ln(1 + K), whatever the size of K
+        out.append(cut(mine.groupBy("ahu").agg((F.log(F.lit(lam)) + F.sum(one_more)).alias("k"))))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -154,17 +155,14 @@ def _heights(tree: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, now)
 
 
-def tree_kernel(a: DataFrame, b: DataFrame, levels: int | None = None) -> DataFrame:
-    """One row, ``score``: normalised subset-tree kernel of two trees.
+def kernel_logs(a: DataFrame, b: DataFrame, levels: int | None = None) -> DataFrame:
+    """One row, ln_ab, ln_aa, ln_bb: logarithms of the subset-tree kernels of two trees that aren't empty.
 
     Equal hashes mean that all children match, so the kernel of a pair of subtrees depends on
     their hash alone, and the sum over pairs is lambda nA nB + sum over hashes of cA cB (K - lambda).
-    With ``levels`` only nodes of that many levels from the root on count. Null if a value leaves the
-    range of doubles.
+    With ``levels`` only nodes of that many levels from the root on count. Values grow exponentially with the
+    number of leaves, so sums and the ratio are taken of logarithms.
     """
-    size = [t.count() for t in (a, b)]
-    if not all(size):
-        return a.sparkSession.createDataFrame([(1.0 if not any(size) else 0.0,)], "score double")
     parts = []
     for t in (a, b):
         h = cut(subtree_hashes(t).join(_heights(t), "id"))
@@ -173,12 +171,32 @@ def tree_kernel(a: DataFrame, b: DataFrame, levels: int | None = None) -> DataFr
         parts.append((_counts(near, "ahu"), k))
     (ca, ka), (cb, kb) = parts
     k = ka.unionByName(kb).groupBy("ahu").agg(F.max("k").alias("k"))
-    both = ca.withColumnRenamed("n", "x").join(cb.withColumnRenamed("n", "y"), "ahu", "full_outer").join(k, "ahu").select(F.coalesce("x", F.lit(0)).cast("double").alias("x"), F.coalesce("y", F.lit(0)).cast("double").alias("y"), (F.exp("k") - LAMBDA).alias("excess"))
-    nodes = both.agg(F.sum("x").alias("na"), F.sum("y").alias("nb"), F.sum(F.col("x") * F.col("y") * F.col("excess")).alias("ab"), F.sum(F.col("x") * F.col("x") * F.col("excess")).alias("aa"), F.sum(F.col("y") * F.col("y") * F.col("excess")).alias("bb"))
-    kab, kaa, kbb = (LAMBDA * F.col(p) * F.col(q) + F.col(s) for p, q, s in (("na", "nb", "ab"), ("na", "na", "aa"), ("nb", "nb", "bb")))
-    score = kab / (F.sqrt(kaa) * F.sqrt(kbb))
-    finite = ~F.isnan(score) & (kaa < float("inf")) & (kbb < float("inf"))
-    return nodes.select(F.when(finite, F.greatest(F.lit(0.0), F.least(score, F.lit(1.0)))).alias("score"))
+    both = ca.withColumnRenamed("n", "x").join(cb.withColumnRenamed("n", "y"), "ahu", "full_outer").join(k, "ahu").select(F.coalesce("x", F.lit(0)).cast("double").alias("x"), F.coalesce("y", F.lit(0)).cast("double").alias("y"), "k")
+    both = cut(both)
+    # logarithms of the terms of the three sums: of each hash, and of the pairs of nodes
+    excess = F.col("k") + F.log1p(-F.exp(F.log(F.lit(float(LAMBDA))) - F.col("k")))
+    sums = {"ab": ("x", "y"), "aa": ("x", "x"), "bb": ("y", "y")}
+    each = both.filter(F.col("k") > F.log(F.lit(float(LAMBDA))) + 1e-12).select(F.explode(F.array(*[F.struct(F.lit(s).alias("of"), F.when(F.col(p) * F.col(q) > 0, F.log(F.col(p)) + F.log(F.col(q)) + excess).alias("l")) for s, (p, q) in sums.items()])).alias("t")).select("t.*")
+    nodes = both.agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    pairs = nodes.select(F.explode(F.array(*[F.struct(F.lit(s).alias("of"), F.when(F.col(p) * F.col(q) > 0, F.log(LAMBDA * F.col(p) * F.col(q))).alias("l")) for s, (p, q) in sums.items()])).alias("t")).select("t.*")
+    terms = each.unionByName(pairs).filter("l IS NOT NULL")
+    most = terms.groupBy("of").agg(F.max("l").alias("most"))
+    logs = terms.join(F.broadcast(most), "of").groupBy("of", "most").agg(F.sum(F.exp(F.col("l") - F.col("most"))).alias("s")).select("of", (F.col("most") + F.log("s")).alias("v"))
+    value = lambda s: F.max(F.when(F.col("of") == s, F.col("v")))
+    return logs.agg(value("ab").alias("ln_ab"), value("aa").alias("ln_aa"), value("bb").alias("ln_bb"))
+
+
+def tree_kernel(a: DataFrame, b: DataFrame, levels: int | None = None) -> DataFrame:
+    """One row, ``score``: normalised subset-tree kernel of two trees. Two empty trees score 1, an empty one and another 0."""
+    size = [t.count() for t in (a, b)]
+    if not all(size):
+        return a.sparkSession.createDataFrame([(1.0 if not any(size) else 0.0,)], "score double")
+    return kernel_logs(a, b, levels).select(kernel_score().alias("score"))
+
+
+def kernel_score() -> Column:
+    """Of a row of kernel_logs: K(a, b) over the root of K(a, a) K(b, b), from 0 to 1."""
+    return F.greatest(F.lit(0.0), F.least(F.exp(F.col("ln_ab") - (F.col("ln_aa") + F.col("ln_bb")) / 2), F.lit(1.0)))
 
 
 def approximate_edit_distance(a: DataFrame, b: DataFrame) -> DataFrame:

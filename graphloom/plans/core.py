@@ -269,8 +269,10 @@ def node_diff(spark, sf):
 
 @query(
     """SELECT coalesce(a.lo, b.lo) AS lo, coalesce(a.hi, b.hi) AS hi, coalesce(a.relation, b.relation) AS relation, CASE WHEN a.lo IS NULL THEN 'added' ELSE 'removed' END AS status
-       FROM a_edges a FULL JOIN edges b ON a.lo = b.lo AND a.hi = b.hi AND a.relation = b.relation WHERE a.lo IS NULL OR b.lo IS NULL""",
+       FROM old a FULL JOIN new b ON a.lo = b.lo AND a.hi = b.hi AND a.relation = b.relation WHERE a.lo IS NULL OR b.lo IS NULL""",
     p.EARLIER_SQL,
+    "old AS MATERIALIZED (SELECT lo, hi, relation FROM a_edges)",
+    "new AS MATERIALIZED (SELECT lo, hi, relation FROM edges)",
 )
 def edge_diff(spark, sf):
     return diff.diff_edges(p.earlier(spark, sf), p.graph(spark, sf)).select("lo", "hi", "relation", "status")

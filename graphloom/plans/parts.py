@@ -200,13 +200,13 @@ def comments_found(spark, sf):
 
 
 @query(
-    """, t AS (SELECT id, label, list_filter(regexp_split_to_array(lower(label), '[^a-z0-9]+'), lambda x: length(x) >= 3) AS w FROM nodes WHERE id LIKE 'supplier%' OR id LIKE 'customer%'),
+    """, t AS (SELECT id, label, list_filter(regexp_split_to_array(lower(label), '[^a-z0-9]+'), lambda x: length(x) >= 3) AS w FROM nodes),
        q AS (SELECT unnest(['supplier', '000000012', '00000001']) AS a),
        s AS (SELECT id, label, sum(CASE WHEN list_contains(w, a) THEN 3 WHEN len(list_filter(w, lambda x: starts_with(x, a) OR starts_with(a, x))) > 0 THEN 1 ELSE 0 END + CASE WHEN contains(id, a) THEN 2 ELSE 0 END)::INTEGER AS score FROM t, q GROUP BY ALL)
        SELECT id, label, score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 50"""
 )
 def token_search(spark, sf):
-    return search.search_tokens(p.nodes(spark, sf).filter("id LIKE 'supplier%' OR id LIKE 'customer%'"), "Supplier 000000012 with 00000001", 50)
+    return search.search_tokens(p.nodes(spark, sf), "Supplier 000000012 with 00000001", 50)
 
 
 # ---- building and changing graphs --------------------------------------------------------------

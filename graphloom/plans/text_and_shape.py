@@ -200,14 +200,57 @@ def role_similarity(spark, sf):
     return trees.role_similarity(a, b).select(F.round("cosine", 9).alias("cosine"))
 
 
+#: Shapes of containment trees in both versions, as text, by the depth at which they are cut. Trees here have three levels,
+#: so a cut at three shows all.
+_SHAPES = """versions AS (SELECT 'a' AS v, id FROM a_nodes UNION ALL SELECT 'b', id FROM nodes),
+  kids AS (SELECT 'a' AS v, source AS parent, target AS child FROM a_edges WHERE relation IN ('contains', 'method') AND NOT regexp_matches(target, '^customer_[0-9]*3$') UNION ALL SELECT 'b', parent, child FROM tree),
+  c0 AS (SELECT v, id, '.' AS shape FROM versions),
+""" + ",\n".join(
+    f"""  c{d} AS MATERIALIZED (SELECT b.v, b.id, coalesce(k.shape, '.') AS shape FROM versions b LEFT JOIN (
+    SELECT kids.v, parent, '(' || md5(string_agg(shape, '' ORDER BY shape)) || ')' AS shape FROM kids JOIN c{d - 1} c ON c.v = kids.v AND c.id = child GROUP BY kids.v, parent) k ON k.v = b.v AND k.parent = b.id)"""
+    for d in range(1, 5)
+)
+
+
+def _thinned(spark, sf) -> PropertyGraph:
+    """The earlier version, in which no nation holds the customers whose key ends in 3."""
+    g = p.earlier(spark, sf)
+    return PropertyGraph(g.nodes, g.edges.filter("relation != 'contains' OR target NOT RLIKE '^customer_[0-9]*3$'"))
+
+
+@query(
+    """SELECT round(sum(x * y) / sqrt(sum(x * x)) / sqrt(sum(y * y)), 9) AS cosine FROM (
+         SELECT shape, count(*) FILTER (v = 'a')::DOUBLE AS x, count(*) FILTER (v = 'b')::DOUBLE AS y FROM (FROM c1 UNION ALL FROM c2 UNION ALL FROM c3 UNION ALL FROM c4) GROUP BY shape)""",
+    p.EARLIER_SQL,
+    _SHAPES,
+)
 def subtree_freq(spark, sf):
-    a, b = (trees.containment_tree(g) for g in (p.earlier(spark, sf), p.graph(spark, sf)))
+    a, b = (trees.containment_tree(g) for g in (_thinned(spark, sf), p.graph(spark, sf)))
     return trees.subtree_frequency(a, b).select(F.round("cosine", 9).alias("cosine"))
 
 
+@query(
+    """SELECT round(ab, 5) AS ln_ab, round(aa, 5) AS ln_aa, round(bb, 5) AS ln_bb, round(exp(ab - (aa + bb) / 2), 9) AS score
+       FROM (SELECT max(CASE WHEN o = 'ab' THEN l END) AS ab, max(CASE WHEN o = 'aa' THEN l END) AS aa, max(CASE WHEN o = 'bb' THEN l END) AS bb FROM logs)""",
+    p.EARLIER_SQL,
+    _SHAPES,
+    # ln of each subtree's kernel with itself, from the leaves up; then ln of the three sums over pairs of equal shapes
+    "k0 AS (SELECT v, id, ln(0.5) AS k FROM versions WHERE (v, id) NOT IN (SELECT (v, parent) FROM kids))",
+    *[
+        f"""k{h} AS MATERIALIZED (SELECT kids.v, parent AS id, ln(0.5) + sum(greatest(k, 0) + ln(1 + exp(-abs(k)))) AS k FROM kids JOIN (SELECT * FROM {" UNION ALL SELECT * FROM ".join(f"k{x}" for x in range(h))}) below ON below.v = kids.v AND below.id = child
+          GROUP BY kids.v, parent HAVING count(*) = (SELECT count(*) FROM kids o WHERE o.v = kids.v AND o.parent = kids.parent) AND (kids.v, kids.parent) NOT IN (SELECT (v, id) FROM k{h - 1}{"" if h < 2 else " UNION ALL SELECT (v, id) FROM k1"}))"""
+        for h in (1, 2)
+    ],
+    "every AS (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2)",
+    "shapes AS (SELECT shape, max(k) AS k, count(*) FILTER (c.v = 'a')::DOUBLE AS x, count(*) FILTER (c.v = 'b')::DOUBLE AS y FROM c4 c JOIN every e ON e.v = c.v AND e.id = c.id GROUP BY shape)",
+    """terms AS (SELECT o, ln(m) + CASE WHEN base THEN ln(0.5) ELSE k + ln(1 - exp(ln(0.5) - k)) END AS l FROM (
+         SELECT o, CASE o WHEN 'ab' THEN x * y WHEN 'aa' THEN x * x ELSE y * y END AS m, k, false AS base FROM shapes, (VALUES ('ab'), ('aa'), ('bb')) t(o) WHERE k > ln(0.5) + 1e-12
+         UNION ALL SELECT o, CASE o WHEN 'ab' THEN sum(x) * sum(y) WHEN 'aa' THEN sum(x) * sum(x) ELSE sum(y) * sum(y) END, 0, true FROM shapes, (VALUES ('ab'), ('aa'), ('bb')) t(o) GROUP BY o) WHERE m > 0)""",
+    "logs AS (SELECT o, most + ln(sum(exp(l - most))) AS l FROM (SELECT o, l, max(l) OVER (PARTITION BY o) AS most FROM terms) GROUP BY o, most)",
+)
 def tree_kernel(spark, sf):
-    a, b = (trees.containment_tree(g) for g in (p.earlier(spark, sf), p.graph(spark, sf)))
-    return trees.tree_kernel(a, b).select(F.round("score", 9).alias("score"))
+    a, b = (trees.containment_tree(g) for g in (_thinned(spark, sf), p.graph(spark, sf)))
+    return trees.kernel_logs(a, b).select(*[F.round(c, 5).alias(c) for c in ("ln_ab", "ln_aa", "ln_bb")], F.round(trees.kernel_score(), 9).alias("score"))
 
 
 _METRICS = ", ".join(f"('{m}', {w[0]}::DOUBLE, {w[2]}::DOUBLE, {w[3]}, {k})" for k, (m, w) in enumerate(compare.METRICS.items()))
@@ -258,7 +301,7 @@ def call_top200(spark, sf):
 
 @query(
     """, calls AS (SELECT 'customer_' || o_custkey AS caller, 'SUPPLIER#' || (o_orderkey % 150) AS callee, o_orderkey AS ord FROM orders),
-       idx AS (SELECT lower(regexp_replace(regexp_replace(label, '[()]+$', ''), '^[.]+', '')) AS l, max(id) AS id FROM nodes WHERE id LIKE 'supplier%' GROUP BY 1)
+       idx AS (SELECT lower(regexp_replace(regexp_replace(label, '[()]+$', ''), '^[.]+', '')) AS l, max(id) AS id FROM nodes GROUP BY 1)
        SELECT DISTINCT caller AS source, id AS target FROM (SELECT caller, 'supplier#' || lpad(split_part(callee, '#', 2), 9, '0') AS l FROM calls) JOIN idx USING (l)
        EXCEPT SELECT 'customer_' || o_custkey, 'supplier_' || (o_orderkey % 150) FROM orders WHERE o_orderstatus = 'F'"""
 )
@@ -266,7 +309,7 @@ def cross_file_calls(spark, sf):
     orders = p.read(spark, sf, "orders")
     n = F.lpad((F.col("o_orderkey") % 150).cast("string"), 9, "0")
     calls = orders.select(F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("caller_nid"), F.concat(F.lit("SUPPLIER#"), n).alias("callee"), F.lit(False).alias("is_member_call"), F.lit("").alias("source_file"), F.lit("").alias("source_location"))
-    nodes = p.nodes(spark, sf).filter("id LIKE 'supplier%'").withColumn("ord", F.col("id"))
+    nodes = p.nodes(spark, sf).withColumn("ord", F.col("id"))
     known = orders.filter("o_orderstatus = 'F'").select(F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("supplier_"), (F.col("o_orderkey") % 150).cast("string")).alias("target"))
     return extract_calls.resolve_across_files(calls, nodes, known).select("source", "target")
 
@@ -337,4 +380,4 @@ def communities(spark, sf):
     return community.cluster(p.graph(spark, sf))
 
 
-EXTRA = {f.__name__: f for f in (subtree_freq, tree_kernel, graph_alignment, communities)}
+EXTRA = {f.__name__: f for f in (graph_alignment, communities)}
