@@ -160,39 +160,102 @@ def parse_ignore(folder: str, text: str, may_negate: bool = False, first: int =
 IGNORE_FILES = (".gitignore", ".graphloomignore")
 
 
-def ignore_rules(files: DataFrame) -> list[IgnoreRule]:
-    """Rules of all ignore files among ``files`` (path, text), outer folders first, so that inner ones
-    decide. Ignore files are few: at most two a folder."""
-    found = files.filter(base_name("path").isin(*IGNORE_FILES) & F.col("text").isNotNull()).select("path", "text").collect()
-    rules: list[IgnoreRule] = []
-    for r in sorted(found, key=lambda r: (r["path"].count("/"), r["path"].rpartition("/")[0], IGNORE_FILES.index(r["path"].rpartition("/")[2]))):
-        folder, _, name = r["path"].rpartition("/")
-        negatable = name == IGNORE_FILES[1]
-        lines = r["text"] if negatable else "\n".join(x for x in r["text"].splitlines() if not x.strip().startswith("!"))
-        rules += parse_ignore(folder, lines, negatable, len(rules))
-    return rules
-
-
-def is_ignored(path: Column, rules: list[IgnoreRule]) -> Column:
-    """The last rule that matches decides. Rules of a tree are few."""
-    out = F.lit(False)
-    for rule in sorted(rules, key=lambda r: r.order):
-        out = F.when(path.rlike(rule.pattern), not rule.negated).otherwise(out)
-    return out
-
+#: Copies of each folder's rules, so that the files below one folder are spread over as many keys.
+_SALTS = 32
+_RULE = "folder string, rules array<struct<turn:bigint, negated:boolean, prefix:string, pattern:string>>"
+
+
+def _glob_pattern(glob: Column, anchored: Column, folders_only: Column) -> Column:
+    """A regular expression over paths relative to the rule's folder: signs but for ``*``, ``?`` and brackets stand for
+    themselves, and none of these spans folders."""
+    plain = F.regexp_replace(glob, r"([.^$+(){}|\\])", r"\\$1")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\[(?![^\]]+\])", r"\\["), r"\[!", "[^")
+    inner = F.regexp_replace(F.regexp_replace(plain, r"\*+", "[^/]*"), r"\?", "[^/]")
+    return F.concat(F.lit("^"), F.when(anchored, "").otherwise("(?:.*/)?"), inner, F.when(folders_only, "/").otherwise("(?:/|$)"))
+
+
+def ignore_rules(files: DataFrame, outside: bool = False) -> DataFrame:
+    """(folder, rules in order) of the ignore files among ``files`` (path, text); in a folder lines of the second
+    kind of file follow those of the first. With ``outside``, files also have ``prefix``, what leads from the folder to
+    the root, and count as rules of the root."""
+    name, here = base_name("path"), F.regexp_replace("path", r"/?[^/]*$", "")
+    found = files.filter(name.isin(*IGNORE_FILES) & F.col("text").isNotNull())
+    prefix = F.col("prefix") if outside else F.lit("")
+    depth = F.col("depth") if outside else F.lit(0)
+    lines = found.select((F.lit("") if outside else here).alias("folder"), prefix.alias("prefix"), (depth * 2 + (name == IGNORE_FILES[1]).cast("int")).alias("file"), (name == IGNORE_FILES[1]).alias("may_negate"), F.posexplode(F.split("text", r"\r?\n")).alias("at", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s", " ")))
+    lines = lines.filter("line != '' AND NOT startswith(line, '#') AND (may_negate OR NOT startswith(line, '!'))")
+    negated = F.col("line").startswith("!")
+    body = F.regexp_replace(F.regexp_replace("line", "^!", ""), "/+$", "")
+    pattern = _glob_pattern(F.regexp_replace(body, "^/+", ""), body.contains("/"), F.col("line").endswith("/"))
+    one = F.struct((F.col("file").cast("long") * (1 << 32) + F.col("at")).alias("turn"), negated.alias("negated"), "prefix", pattern.alias("pattern"))
+    return lines.groupBy("folder").agg(F.array_sort(F.collect_list(one)).alias("rules"))
+
+
+def listed_rules(spark: SparkSession, rules: list[IgnoreRule]) -> DataFrame:
+    """Rules given one by one, as rules of the root."""
+    rows = [(r.order, r.negated, "", r.pattern) for r in sorted(rules, key=lambda r: r.order)]
+    return spark.createDataFrame([("", rows)] if rows else [], _RULE)
+
+
+def rules_above(spark: SparkSession, root: str) -> DataFrame:
+    """Rules of ignore files in the folders above ``root``, up to the nearest that holds ``.git``: none if the root
+    itself holds it, or if they would leave out the root."""
+    from pyarrow import fs
 
-def detect(files: DataFrame, rules: list[IgnoreRule] | None = None) -> DataFrame:
+    none = spark.createDataFrame([], _RULE)
+    system, base = _file_system(root)
+    exists = lambda path: system.get_file_info(path).type != fs.FileType.NotFound
+    if exists(f"{base}/.git"):
+        return none
+    rows, folder, prefix, depth = [], base, "", 0
+    while "/" in folder.strip("/"):
+        folder, _, last = folder.rpartition("/")
+        prefix, depth = f"{last}/{prefix}", depth - 1  # outer folders come first
+        for name in IGNORE_FILES:
+            if exists(f"{folder}/{name}"):
+                with system.open_input_stream(f"{folder}/{name}") as f:
+                    rows.append((name, f.read().decode(errors="replace"), prefix, depth))
+        if exists(f"{folder}/.git"):
+            break
+    rules = ignore_rules(spark.createDataFrame(rows, "path string, text string, prefix string, depth int"), outside=True)
+    own = rules.select(F.explode("rules").alias("r")).filter(F.regexp_like(F.regexp_replace("r.prefix", "/$", ""), F.col("r.pattern")))
+    last = own.agg(F.max_by("r.negated", "r.turn").alias("negated")).first()["negated"]
+    return none if last is False else rules
+
+
+def folders_of(path: Column) -> Column:
+    """The folders that hold a path, from the root, which is the empty text, inwards."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """The paths that the last matching rule leaves out; rules of inner folders come after those of outer ones, and
+    those from above the root before all. An equi-join of paths' folders with rules' folders, whatever their number."""
+    held = paths.select("path", F.posexplode(folders_of(F.col("path"))).alias("depth", "folder")).withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)))
+    copies = rules.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    met = held.join(copies, ["folder", "salt"])
+    rest = F.when(F.col("folder") == "", F.col("path")).otherwise(F.expr("substring(path, length(folder) + 2)"))
+    met = met.withColumn("rest", rest)
+    hit = F.try_element_at(F.filter("rules", lambda r: F.regexp_like(F.concat(r["prefix"], F.col("rest")), r["pattern"])), F.lit(-1))
+    decided = met.select("path", F.struct("depth", hit["turn"].alias("turn")).alias("turn"), hit["negated"].alias("negated")).filter("negated IS NOT NULL")
+    return decided.groupBy("path").agg(F.max_by("negated", "turn").alias("negated")).filter("NOT negated").select("path")
+
+
+def detect(files: DataFrame, rules: DataFrame | list[IgnoreRule] | None = None) -> DataFrame:
     """(path, file_type, words, skipped) of ``files`` (path, text): hidden and noise folders,
     submodules, lock files, ignored and unknown files are left out; sensitive ones stay as skipped.
     Unless ``rules`` are given, they are those of the ignore files among ``files``."""
-    rules = ignore_rules(files) if rules is None else rules
-    submodules = files.filter(base_name("path") == ".git").filter(F.col("text").startswith("gitdir:")).select(F.regexp_replace("path", r"/?\.git$", "").alias("folder")).filter("folder != ''")
+    rules = ignore_rules(files) if rules is None else listed_rules(files.sparkSession, rules) if isinstance(rules, list) else rules
+    submodules = files.filter(base_name("path") == ".git").filter(F.col("text").startswith("gitdir:")).select(F.regexp_replace("path", r"/?\.git$", "").alias("folder")).filter("folder != ''").distinct()
     parts = F.split("path", "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     noise = F.exists(folders, is_noise)
     hidden = base_name("path").startswith(".") & ~is_sensitive(base_name("path"))
-    kept = files.filter(~noise & ~hidden & ~base_name("path").isin(SKIP_FILES) & ~is_ignored(F.col("path"), rules))
-    kept = kept.join(submodules, F.col("path").startswith(F.concat("folder", F.lit("/"))), "left_anti")
+    kept = files.filter(~noise & ~hidden & ~base_name("path").isin(SKIP_FILES))
+    in_submodules = kept.select("path", F.explode(folders_of(F.col("path"))).alias("folder")).join(submodules, "folder", "left_semi").select("path")
+    out = ignored(kept.select("path"), rules).unionByName(in_submodules)
+    kept = kept.join(out, "path", "left_anti")
     secret = is_sensitive(base_name("path"))
     typed = kept.select("path", classify(F.col("path"), F.coalesce("text", F.lit(""))).alias("file_type"), F.when(secret, F.lit(0)).otherwise(F.coalesce(word_count(F.col("text")), F.lit(0))).cast("long").alias("words"), secret.alias("skipped"))
     return typed.filter("file_type is not null OR skipped")
