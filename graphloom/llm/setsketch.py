@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = contracted(links)[0]
     links = materialize(links.unionByName(linked(_apart(pair(near), labels))), "links")
     labels = contracted(links)[0]
-    links = materialize(links.unionByName(linked(_across(sets, labels, percent))), "links")
+    # pairs by prefixes are sure not to leave out any, so they are compared in full, without an estimate before
+    links = materialize(links.unionByName(_verified(_across(sets, labels, percent), sets, percent)), "links")
     discard(near, members, sketched, sets)
     # copies hang on their class, so only ids that stand for several classes need their rows here
     copies = whole.join(classes.filter("node != most"), "set_key").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
