@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from .common import ascii_lower, materialize
 
 LONGEST_WORD = 24
+#: Letters of a label whose spans begin in one row; copies of the counts of short words, which occur in most labels.
+CHUNK, SHORT, SALTS = 200, 3, 16
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -76,15 +78,21 @@ def viterbi(label: str, known: dict[tuple[int, int], float], total: float) -> li
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """label, words for each different non-empty label."""
     total = max(float(counts.agg(F.sum("n")).first()[0] or 1), 1.0)
-    labels = labels.select("label").filter("label != ''").distinct()
+    labels = materialize(labels.select("label").filter("label != ''").distinct().withColumn("lid", F.monotonically_increasing_id()), "labels")
+    # a long label is taken in chunks that overlap by the longest word, so a span's row carries no more than its word
+    starts = F.sequence(F.lit(0), F.floor((F.length("label") - 1) / CHUNK).cast("int"))
+    chunks = labels.select("lid", "label", F.explode(starts).alias("c")).select("lid", (F.col("c") * CHUNK).alias("base"), F.substr("label", F.col("c") * CHUNK + 1, F.lit(CHUNK + LONGEST_WORD - 1)).alias("chunk"))
     spans = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.length("label")),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("label") - i + 1)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.substr(F.col("label"), i, n).alias("word"))),
+            F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.length("chunk"))),
+            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("chunk") - i + 1)), lambda n: F.struct((i + F.col("base")).alias("i"), n.alias("n"), F.substr(F.col("chunk"), i, n).alias("word"))),
         )
     )
-    parts = labels.select("label", F.explode(spans).alias("s")).select("label", "s.*")
-    known = parts.join(counts.withColumnRenamed("n", "count"), "word").groupBy("label").agg(F.collect_list(F.struct("i", "n", "count")).alias("known"))
+    salt = lambda length, of: F.when(length <= SHORT, of).otherwise(0)
+    parts = chunks.select("lid", F.explode(spans).alias("s")).select("lid", "s.*").withColumn("salt", salt(F.col("n"), F.pmod("lid", F.lit(SALTS)).cast("int")))
+    copies = F.when(F.length("word") <= SHORT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    counted = counts.select("word", F.col("n").alias("count"), F.explode(copies).alias("salt"))
+    known = parts.join(counted, ["word", "salt"]).groupBy("lid").agg(F.collect_list(F.struct("i", "n", "count")).alias("known"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(label, known):
@@ -96,7 +104,7 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
             out.append(viterbi(text, p, total))
         return pd.Series(out)
 
-    return labels.join(known, "label", "left").select("label", cut("label", "known").alias("words"))
+    return labels.join(known, "lid", "left").select("label", cut("label", "known").alias("words"))
 
 
 def _path_tokens(path: Column) -> Column:
@@ -146,13 +154,15 @@ def url_filter(pages: DataFrame, rules: list[Rule], counts: DataFrame, seeds: li
     Training labels are the verdicts of the rules and, where none fits, ``block`` for hosts of
     which a part between dots and hyphens is one of ``seeds``. Without a fitting rule the
     verdict is ``block`` if the log-odds are over 0. Null and unparsable urls have empty host
-    and path, no tokens, and the prior's verdict; repeated rows are judged alike.
+    and path, no tokens, and the prior's verdict; repeated rows are judged alike. Urls and hosts may be of any
+    length. Columns of ``keep`` that are named like one of the result's are left out.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    kept = [c for c in keep if c not in ("host", "path", "rule", "verdict", "log_odds")]
+    rows = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(c) for c in kept]).alias("_keep"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
     seeded = F.exists(F.split("host", r"[^\p{L}]+"), lambda x: x.isin(seeds)) if seeds else F.lit(False)
     rows = materialize(rows.withColumn("label", F.coalesce(F.col("_rule.verdict"), F.when(seeded, F.lit("block")))), "urls")
     judged = fit(rows, counts).scores(rows)
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
-    return judged.select(*keep, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "log_odds")
+    return judged.select(*[F.col("_keep")[c].alias(c) for c in kept], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "log_odds")

@@ -96,6 +96,17 @@ def test_viterbi_and_segments(spark):
     assert got["cheappills"] == ["cheap", "pills"] and got["therapist"] == ["therapist"] and "".join(got["zzq"]) == "zzq" and "" not in got
 
 
+def test_long_urls_repeats_and_clashing_names(spark):
+    long = "http://" + "gardenhouse" * 2000 + ".example.net/" + "x/" * 3000
+    rows = spark.createDataFrame([(1, long, "h", 7), (2, long, "h", 7), (3, None, None, 8), (4, "http://gardenhouse.example.net/", "h", 9)], "page_id long, url string, host string, `row` int").repartition(2)
+    counts = spark.createDataFrame([("garden", 50), ("house", 40), ("a", 9)], "word string, n long")
+    got = {r.page_id: r for r in url_filter.url_filter(rows, queries.RULES, counts, [], keep=("page_id", "host", "row")).collect()}
+    assert len(got) == 4 and got[1].host == long[7:].split("/")[0] and got[1].row == 7 and got[3].host == "" and got[1][1:] == got[2][1:]
+    labels = spark.createDataFrame([("gardenhouse" * 2000,), ("house",), ("zgardenz",)], "label string")
+    words = {r.label: r.words for r in url_filter.segment(labels, counts).collect()}
+    assert words["gardenhouse" * 2000] == ["garden", "house"] * 2000 and words["house"] == ["house"] and "garden" in words["zgardenz"]
+
+
 def test_url_filter_on_held_out_hosts(spark):
     pages = [(i, f"http://{'casino' if i % 2 else 'garden'}{w}.example.net/{'win' if i % 2 else 'grow'}/{i}") for i, w in enumerate(["club", "house", "king", "world"] * 20)]
     rows = spark.createDataFrame(pages, "page_id long, url string")
