@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 #: Bytes of text in a slice, and units kept between slices, in each Python worker.
-SLICE_BYTES, CACHE_UNITS = 4 << 20, 1 << 19
+SLICE_BYTES, CACHE_UNITS = 2 << 20, 1 << 18
 #: Links of a group above which its different ids are counted first.
 WIDE = 1024
 
