@@ -174,4 +174,4 @@ class RecordTools:
         docs = self.nodes.select(F.col("id").alias("doc_id"), search.node_document().alias("text"))
         idf, weights = search.term_weights(docs)
         asked = self.nodes.sparkSession.createDataFrame([("", text)], "doc_id string, text string")
-        return search.top_matches(search.sparse_cosine(search.query_weights(asked, idf), weights), top, threshold).select(F.col("doc_b").alias("id"), "score").orderBy(F.desc("score"), "id")
+        return search.top_matches(search.similar_pairs(search.query_weights(asked, idf), weights, threshold) if threshold > 0 else search.sparse_cosine(search.query_weights(asked, idf), weights), top, threshold).select(F.col("doc_b").alias("id"), "score").orderBy(F.desc("score"), "id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import cosine, normalize_label, tokenize
 from .graph import PropertyGraph
+from .rounds import cut
 
 EDITS = 2
 
@@ -79,7 +80,7 @@ def term_weights(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From ``docs`` (doc_id, text): idf (term, idf = ln(N / (1 + df)), negative for terms in every
     document) and weights (doc_id, term, w = share of the document's tokens times idf)."""
     tokens = docs.select("doc_id", tokenize("text").alias("tokens"))
-    counts = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("n")))
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("term", F.log(F.col("total") / (1 + F.col("df"))).alias("idf"))
     return idf, counts.join(idf, "term").select("doc_id", "term", (F.col("n") / F.col("len") * F.col("idf")).alias("w"))
@@ -101,6 +102,29 @@ def sparse_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
     return dots.join(norms(a, "a"), "doc_a").join(norms(b, "b"), "doc_b").select("doc_a", "doc_b", (F.col("dot") / (F.col("n_a") * F.col("n_b"))).alias("score"))
 
 
+def similar_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(doc_a, doc_b, score) of the pairs of sparse_cosine that reach ``threshold``, a number over 0.
+
+    Terms are taken in order from rare to frequent. The first terms of a document of ``b`` are indexed, until what is left of
+    its norm is under the threshold: a pair that shares none of these can't reach it. So frequent terms, which
+    come last and weigh little, pair nothing. Candidates are then scored in full.
+    """
+    a, b = cut(a.filter("w != 0")), cut(b.filter("w != 0"))
+    size = lambda x: x.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms_a, norms_b = size(a), size(b)
+    holders = b.groupBy("term").agg(F.count(F.lit(1)).alias("holders"))
+    rare_first = Window.partitionBy("doc_id").orderBy("holders", "term").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(rare_first), F.lit(0.0))
+    left = F.col("norm") * F.col("norm") - before
+    indexed = b.join(holders, "term").join(norms_b, "doc_id").withColumn("left", left).filter(F.col("left") >= (threshold * F.col("norm")) ** 2 * (1 - 1e-9)).select("term", F.col("doc_id").alias("doc_b"))
+    pairs = cut(a.select("term", F.col("doc_id").alias("doc_a")).join(indexed, "term").select("doc_a", "doc_b").distinct())
+    terms = pairs.join(a.select(F.col("doc_id").alias("doc_a"), "term", F.col("w").alias("w_a")), "doc_a")
+    dots = terms.join(b.select(F.col("doc_id").alias("doc_b"), "term", F.col("w").alias("w_b")), ["doc_b", "term"]).groupBy("doc_a", "doc_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
+    named = lambda x, k: x.select(F.col("doc_id").alias(f"doc_{k}"), F.col("norm").alias(f"n_{k}"))
+    scored = dots.join(named(norms_a, "a"), "doc_a").join(named(norms_b, "b"), "doc_b")
+    return scored.select("doc_a", "doc_b", (F.col("dot") / (F.col("n_a") * F.col("n_b"))).alias("score")).filter(F.col("score") >= threshold)
+
+
 def top_matches(scores: DataFrame, k: int, threshold: float) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("doc_a").orderBy(F.desc("score"), "doc_b"))
     return scores.filter(F.col("score") >= threshold).withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -111,7 +135,7 @@ def link_text_to_code(semantic: DataFrame, code: DataFrame, edges: DataFrame, k:
     ``strong`` on, else ``conceptually_related_to``. Pairs already linked, either way, are left
     out after the cut to k, so fewer than k may remain."""
     idf, weights = term_weights(code)
-    found = top_matches(sparse_cosine(query_weights(semantic, idf), weights), k, threshold).filter("doc_a != doc_b")
+    found = top_matches(similar_pairs(query_weights(semantic, idf), weights, threshold), k, threshold).filter("doc_a != doc_b")
     pairs = edges.select(F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")).distinct()
     keyed = found.withColumns({"lo": F.least("doc_a", "doc_b"), "hi": F.greatest("doc_a", "doc_b")}).join(pairs, ["lo", "hi"], "left_anti")
     first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("lo", "hi").orderBy("doc_a"))).filter("n = 1")
@@ -122,7 +146,7 @@ def resolve_dangling(edges: DataFrame, nodes: DataFrame, code: DataFrame, thresh
     """Edges whose unknown endpoints are replaced by the best code node for their id's words, where one reaches the threshold."""
     idf, weights = term_weights(code)
     unknown = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
-    best = top_matches(sparse_cosine(query_weights(unknown.select(F.col("id").alias("doc_id"), F.col("id").alias("text")), idf), weights), 1, threshold).select(F.col("doc_a").alias("_from"), F.col("doc_b").alias("_to"))
+    best = top_matches(similar_pairs(query_weights(unknown.select(F.col("id").alias("doc_id"), F.col("id").alias("text")), idf), weights, threshold), 1, threshold).select(F.col("doc_a").alias("_from"), F.col("doc_b").alias("_to"))
     for end in ("source", "target"):
         edges = edges.join(best, edges[end] == best["_from"], "left").withColumn(end, F.coalesce("_to", end)).drop("_from", "_to")
     return edges

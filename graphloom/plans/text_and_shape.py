@@ -70,10 +70,33 @@ def tfidf_top_terms(spark, sf):
 def tfidf_links(spark, sf):
     items = p.read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     idf, weights = search.term_weights(_documents(spark, sf))
-    found = search.top_matches(search.sparse_cosine(search.query_weights(items, idf), weights), 5, 0.25)
+    found = search.top_matches(search.similar_pairs(search.query_weights(items, idf), weights, 0.25), 5, 0.25)
     return found.select(F.col("doc_a").alias("item_id"), F.col("doc_b").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query(
+    ", "
+    + _TFIDF
+    + ", "
+    + tokens_sql("btoks", "benchmark", "item_id", "text")
+    + """, bcnt AS (SELECT item_id, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY item_id) AS len FROM btoks GROUP BY item_id, w),
+       bw AS (SELECT item_id, w, n / len::DOUBLE * idf AS x FROM bcnt JOIN idf USING (w)),
+       sc AS (SELECT b.item_id, d.doc_id, sum(b.x * d.x) AS dot FROM bw b JOIN wt d USING (w) GROUP BY ALL),
+       bn AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM bw GROUP BY 1), dn AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM wt GROUP BY 1),
+       top AS (SELECT item_id, doc_id, dot / (bn.n * dn.n) AS score FROM sc JOIN bn USING (item_id) JOIN dn USING (doc_id)
+         WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, 'doc_' || doc_id) <= 5)
+       SELECT 'item_' || item_id AS source, 'doc_' || doc_id AS target, CASE WHEN score >= 0.5 THEN 'references' ELSE 'conceptually_related_to' END AS relation, round(score, 6) AS score
+       FROM top WHERE doc_id % 50 <> item_id % 50"""
+)
+def text_code_links(spark, sf):
+    """Links from benchmark texts to documents; pairs whose keys agree modulo 50 are linked before."""
+    named = lambda df, kind, key: df.select(F.concat(F.lit(f"{kind}_"), F.col(key).cast("string")).alias("doc_id"), "text", F.col(key).alias("k"))
+    items, docs = named(p.read(spark, sf, "benchmark"), "item", "item_id"), named(p.read(spark, sf, "documents"), "doc", "doc_id")
+    known = docs.join(items.select(F.col("doc_id").alias("item"), F.col("k").alias("i")), F.col("k") % 50 == F.col("i") % 50).select(F.col("doc_id").alias("source"), F.col("item").alias("target"))
+    found = search.link_text_to_code(items.drop("k"), docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), known)
+    return found.select("source", "target", "relation", F.round("confidence_score", 6).alias("score"))
+
+
 @query(
     """, s AS (SELECT n.id, n.label, regexp_replace(regexp_replace(lower(n.label), '[()]+$', ''), '^[.]+', '') AS c, lower(n.label) AS l, lower(n.source_file) AS f, d.degree FROM nodes n JOIN degrees d USING (id)),
        x AS (SELECT id, label, CASE WHEN c = 'france' THEN 10 WHEN starts_with(c, 'france') THEN 5 WHEN contains(l, 'france') THEN 2
