@@ -159,3 +159,40 @@ def comparison_report(sections: dict[str, DataFrame], label_a: str, label_b: str
     lines += ["", "## Impact", ""] + [f"- {r['id']}: {r['affected']} nodes" for r in sections["impact"].limit(shown).collect()]
     lines += ["", "## Import drift", ""] + [f"- {r['file']}: +{len(r['added'])} -{len(r['removed'])}" for r in sections["drift"].limit(shown).collect()]
     return "\n".join(lines) + "\n"
+
+
+def comparison_json(sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, value): each row of each section of a comparison as JSON, nulls kept."""
+    from functools import reduce
+
+    rows = [df.select(F.lit(name).alias("section"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")) for name, df in sections.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def write_comparison(sections: dict[str, DataFrame], path: str) -> None:
+    """A folder of JSON lines for each section under ``path``, in as many parts as tasks wrote."""
+    comparison_json(sections).write.mode("overwrite").partitionBy("section").text(path)
+
+
+def n_way_report(graphs: dict, options=None, estimate_only: bool = False, shown: int = 20) -> str:
+    """Markdown on several graphs: the heatmap, the nearest and the farthest pair, estimates next to what was compared, what all
+    share, and what each has alone."""
+    from ..operators import compare
+
+    names = list(graphs)
+    heatmap, scores = compare.compare_n(graphs, options, estimate_only)
+    at = {(r["label_a"], r["label_b"]): r["score"] for r in heatmap.collect()}  # as many rows as pairs of graphs
+    cell = lambda x, y: f"{at[x, y]:.3f}" if at.get((x, y)) is not None else "-"
+    lines = ["# Comparison of " + ", ".join(names), "", "| | " + " | ".join(names) + " |", "|-" * (len(names) + 1) + "|"]
+    lines += [f"| {x} | " + " | ".join(cell(x, y) for y in names) + " |" for x in names]
+    pairs = sorted((s, x, y) for (x, y), s in at.items() if x < y and s is not None)
+    if pairs:
+        lines += ["", f"Nearest: {pairs[-1][1]} and {pairs[-1][2]}, {pairs[-1][0]:.3f}, {compare.interpret(pairs[-1][0])}.", f"Farthest: {pairs[0][1]} and {pairs[0][2]}, {pairs[0][0]:.3f}, {compare.interpret(pairs[0][0])}."]
+    bounds = compare.estimate(scores).orderBy("label_a", "label_b").limit(shown).collect() if estimate_only else []
+    if bounds:
+        lines += ["", "## Estimates", ""] + [f"- {r['label_a']} and {r['label_b']}: {r['lower']:.3f} to {r['upper']:.3f}" for r in bounds]
+    core, unique = analyze.core_and_unique(graphs)
+    shared = core.first()
+    lines += ["", "## Core", "", "- " + ", ".join(f"{c}: {shared[c]}" for c in core.columns) if shared else "- nothing", "", "## Unique", ""]
+    lines += [f"- {r['graph']}: {r['nodes']} nodes, {r['edges']} edges" for r in unique.orderBy("graph").collect()]
+    return "\n".join(lines) + "\n"

@@ -53,13 +53,14 @@ VECTOR_MAGIC, VECTOR_VERSION = b"GFYE", 1
 
 
 def parse_vectors(data: bytes) -> list[tuple[str, str, list[float]]]:
-    """(model, id, vector) of a vector file: little-endian version, dimension, model length and count;
-    then the model; then for each vector the length of its id, the id, and 32-bit floats."""
+    """(model, id, vector) of a vector file: little-endian version, dimension and model length; the model; the
+    count; then for each vector the length of its id, the id, and 32-bit floats."""
     if data[:4] != VECTOR_MAGIC:
         raise ValueError("not a vector file")
-    _, dim, n_model, count = struct.unpack_from("<4I", data, 4)
+    _, dim, n_model = struct.unpack_from("<3I", data, 4)
     at = 20 + n_model
-    model, out = data[20:at].decode(), []
+    model, out = data[16 : at - 4].decode(), []
+    (count,) = struct.unpack_from("<I", data, at - 4)
     for _ in range(count):
         (n,) = struct.unpack_from("<I", data, at)
         name = data[at + 4 : at + 4 + n].decode()

@@ -139,7 +139,7 @@ def test_node_link_round_trip(spark, tmp_path):
 
 
 def test_vector_files(spark, tmp_path):
-    body = struct.pack("<4I", 1, 2, 1, 2) + b"m" + b"".join(struct.pack("<I", len(i)) + i + struct.pack("<2f", *v) for i, v in ((b"a", (1, 2)), (b"bb", (3, 4))))
+    body = struct.pack("<3I", 1, 2, 1) + b"m" + struct.pack("<I", 2) + b"".join(struct.pack("<I", len(i)) + i + struct.pack("<2f", *v) for i, v in ((b"a", (1, 2)), (b"bb", (3, 4))))
     (tmp_path / "v.bin").write_bytes(b"GFYE" + body)
     assert [(r["model"], r["id"], r["vec"]) for r in files.load_vectors(spark, str(tmp_path / "v.bin")).orderBy("id").collect()] == [("m", "a", [1.0, 2.0]), ("m", "bb", [3.0, 4.0])]
     with pytest.raises(ValueError):
