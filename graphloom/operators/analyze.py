@@ -25,6 +25,7 @@ def surprising_connections(graph: PropertyGraph, communities: DataFrame, top_n:
     files = (F.coalesce("a_source_file", F.lit("")) != "") & (F.coalesce("b_source_file", F.lit("")) != "") & (F.col("a_source_file") != F.col("b_source_file"))
     apart = F.coalesce(F.col("a_community_id") != F.col("b_community_id"), F.lit(False))
     doubt = F.when(F.col("confidence") == "AMBIGUOUS", 3).when(F.col("confidence") == "INFERRED", 2).otherwise(1)
+    # fixed values: the reasons' wording, part of the output
     why = F.array_compact(
         F.array(
             F.when(F.col("confidence") == "AMBIGUOUS", "tagged AMBIGUOUS").when(F.col("confidence") == "INFERRED", "inferred connection"),
@@ -38,19 +39,26 @@ def surprising_connections(graph: PropertyGraph, communities: DataFrame, top_n:
     return scored.orderBy(F.desc("score"), "source", "target").limit(top_n)
 
 
+# The questions' wording, part of the output.
+DOUBT_QUESTION = "What is the exact relationship between %s and %s?"
+DOUBT_WHY = ("Edge tagged AMBIGUOUS (relation: ", ") - confidence is low.")
+LONE_QUESTION = "Why are these entities disconnected: %s?"
+LONE_WHY = "Isolated nodes may indicate missing relationships or dead code."
+
+
 def suggest_questions(graph: PropertyGraph, top_n: int = 5) -> DataFrame:
     """(kind, question, why): one for each AMBIGUOUS edge in pair order, then one about isolated nodes."""
     names = graph.nodes.select("id", F.coalesce("label", "id").alias("name"))
     a, b = names.select(F.col("id").alias("a_id"), F.col("name").alias("a")), names.select(F.col("id").alias("b_id"), F.col("name").alias("b"))
     doubtful = graph.edges.filter("confidence = 'AMBIGUOUS'").join(a, F.col("source") == F.col("a_id")).join(b, F.col("target") == F.col("b_id"))
-    why = F.concat(F.lit("Edge tagged AMBIGUOUS (relation: "), F.coalesce("relation", F.lit("")), F.lit(") - confidence is low."))
-    asked = doubtful.select(F.lit("ambiguous_edge").alias("kind"), F.format_string("What is the exact relationship between %s and %s?", "a", "b").alias("question"), why.alias("why"), F.lit(0).alias("part"), "lo", "hi").orderBy("lo", "hi").limit(top_n)
+    why = F.concat(F.lit(DOUBT_WHY[0]), F.coalesce("relation", F.lit("")), F.lit(DOUBT_WHY[1]))
+    asked = doubtful.select(F.lit("ambiguous_edge").alias("kind"), F.format_string(DOUBT_QUESTION, "a", "b").alias("question"), why.alias("why"), F.lit(0).alias("part"), "lo", "hi").orderBy("lo", "hi").limit(top_n)
     touched = graph.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     first = names.join(touched, "id", "left_anti").orderBy("id").limit(3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]), ", ").alias("some"))
     asked_lone = first.filter("some != ''").select(
         F.lit("isolated_nodes").alias("kind"),
-        F.format_string("Why are these entities disconnected: %s?", "some").alias("question"),
-        F.lit("Isolated nodes may indicate missing relationships or dead code.").alias("why"),
+        F.format_string(LONE_QUESTION, "some").alias("question"),
+        F.lit(LONE_WHY).alias("why"),
         F.lit(1).alias("part"),
         F.lit("").alias("lo"),
         F.lit("").alias("hi"),

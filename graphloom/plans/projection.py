@@ -59,12 +59,25 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple[str, str, str], PropertyGraph] = {}
+_stored: dict[tuple, PropertyGraph] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of what lies in the folder of tables, two levels deep."""
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sparkContext().hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    system = folder.getFileSystem(conf)
+    found = []
+    for s in system.listStatus(folder):
+        inside = system.listStatus(s.getPath()) if s.isDirectory() else [s]
+        found += [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in inside]
+    return tuple(sorted(found))
 
 
 def _once(spark: SparkSession, sf_dir: str, version: str, build) -> PropertyGraph:
-    """The stored graph of a version of the tables; each session builds it once."""
-    key = (spark.sparkContext.applicationId, sf_dir, version)
+    """The stored graph of a version of the tables; each session builds it once, and again if the tables' files change."""
+    key = (spark.sparkContext.applicationId, sf_dir, version, _stamp(spark, sf_dir))
     if key not in _stored:
         _stored[key] = build().stored()
     return _stored[key]

@@ -15,7 +15,7 @@ from ..operators.graph import PropertyGraph
 from ..operators.rounds import ranked
 
 MERMAID_NODES = 200
-# Behaviours that style a node, the first that it has.
+# The order of behaviours; the first that a node has styles it. The colours are free.
 STYLES = {
     "throws": "#ffcccc", "exec": "#ffd9b3", "unsafe": "#ff9999", "net": "#cce5ff",
     "fs": "#d9f2d9", "logs": "#f2f2cc", "async": "#e6ccff", "test": "#e0e0e0",

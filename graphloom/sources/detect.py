@@ -13,14 +13,14 @@ from ..functions.strings import base_name, extension
 from ..operators.rounds import cut
 
 # Extensions by type.
-CODE = ".py .ts .js .jsx .tsx .mjs .ejs .go .rs .java .cpp .cc .cxx .c .h .hpp .rb .swift .kt .kts .cs .scala .php .lua .toc .zig .ps1 .ex .exs .m .mm .jl .vue .svelte .dart .v .sv".split()
-DOCUMENT = ".md .mdx .txt .rst .html .yaml .yml".split()
+CODE = [".py", ".ts", ".js", ".jsx", ".tsx", ".mjs", ".ejs", ".go", ".rs", ".java", ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".rb", ".swift", ".kt", ".kts", ".cs", ".scala", ".php", ".lua", ".toc", ".zig", ".ps1", ".ex", ".exs", ".m", ".mm", ".jl", ".vue", ".svelte", ".dart", ".v", ".sv"]
+DOCUMENT = [".md", ".mdx", ".txt", ".rst", ".html", ".yaml", ".yml"]
 PAPER, OFFICE = [".pdf"], [".docx", ".xlsx"]
-IMAGE = ".png .jpg .jpeg .gif .webp .svg".split()
-VIDEO = ".mp4 .mov .webm .mkv .avi .m4v .mp3 .wav .m4a .ogg".split()
+IMAGE = [".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg"]
+VIDEO = [".mp4", ".mov", ".webm", ".mkv", ".avi", ".m4v", ".mp3", ".wav", ".m4a", ".ogg"]
 # Folders and files that are never read.
-SKIP_FOLDERS = "venv .venv env .env node_modules __pycache__ .git dist build target out site-packages lib64 .pytest_cache .mypy_cache .ruff_cache .tox .eggs".split()
-SKIP_FILES = "package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock Gemfile.lock composer.lock go.sum go.work.sum".split()
+SKIP_FOLDERS = ["venv", ".venv", "env", ".env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "site-packages", "lib64", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".eggs"]
+SKIP_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock", "go.sum", "go.work.sum"]
 # Names that tell of secrets.
 SENSITIVE = (
     r"(?i)(^|[\\/])\.(env|envrc)(\.|$)",
