@@ -12,8 +12,8 @@ from itertools import chain
 import numpy as np
 
 END_ID = 2
-#: Bytes of text encoded at a time, and words kept between slices (about 40 MB), in each Python worker.
-SLICE_BYTES, CACHE_WORDS = 6 << 20, 1 << 20
+#: Bytes of text encoded at a time, and words kept between slices (about 10 MB), in each Python worker.
+SLICE_BYTES, CACHE_WORDS = 2 << 20, 1 << 18
 
 # ---- fixed values: the parts of a tokenizer file for which words can be encoded apart ----
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
