@@ -62,7 +62,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _stored: dict[tuple, PropertyGraph] = {}
 
 
-def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
     """Names, sizes and times of what lies in the folder of tables, two levels deep."""
     jvm = spark._jvm
     conf = spark._jsparkSession.sparkContext().hadoopConfiguration()
@@ -77,7 +77,7 @@ def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
 
 def _once(spark: SparkSession, sf_dir: str, version: str, build) -> PropertyGraph:
     """The stored graph of a version of the tables; each session builds it once, and again if the tables' files change."""
-    key = (spark.sparkContext.applicationId, sf_dir, version, _stamp(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, version, stamp(spark, sf_dir))
     if key not in _stored:
         _stored[key] = build().stored()
     return _stored[key]
