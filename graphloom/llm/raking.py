@@ -116,10 +116,12 @@ def _bounded_step(cells: DataFrame, dim: str, target: DataFrame) -> DataFrame:
     down = Window.partitionBy(dim).orderBy(F.desc("u"), *[c for c in cells.columns if c not in ("u", "tokens", dim)])
     full = F.coalesce(F.sum("tokens").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     free = F.sum(F.col("tokens") * F.col("u")).over(down.rowsBetween(0, Window.unboundedFollowing))
-    tried = cells.join(target, dim).withColumns({"f": (F.col("target") - full) / free, "rank": F.row_number().over(down)})
+    tried = cells.join(target, dim, "left").withColumns({"f": (F.col("target") - full) / free, "rank": F.row_number().over(down)})
     fits = F.when((F.col("f") * F.col("u") <= 1) & (F.col("f") >= 0), F.struct("rank", "f"))
-    factor = tried.groupBy(dim).agg(F.min(fits)["f"].alias("f"), F.min("u").alias("least"))
-    return cells.join(factor, dim, "left").withColumn("u", F.when(F.col("least").isNull(), 0.0).otherwise(F.col("u") * F.coalesce("f", 1 / F.col("least")))).select(*cells.columns)
+    # sums beside the rows, not joined back: a plan that held ``cells`` twice would double with each dimension
+    value = Window.partitionBy(dim)
+    factor = F.coalesce(F.min(fits).over(value)["f"], 1 / F.min("u").over(value))
+    return tried.withColumn("u", F.when(F.col("target").isNull(), 0.0).otherwise(F.col("u") * factor)).select(*cells.columns)
 
 
 def residuals(cells: DataFrame, targets: dict[str, DataFrame], weight: str = "weight") -> DataFrame:

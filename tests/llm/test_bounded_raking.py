@@ -44,3 +44,12 @@ def test_the_sample_uses_bounded_weights(spark, monkeypatch):
     monkeypatch.setattr(raking, "rake_bounded", lambda cells, targets: called.append(1) or raking.rake(cells, targets))
     docs = spark.createDataFrame([(1, "x", "en", "a")], "doc_id long, text string, lang string, source string")
     assert raking.sample(docs, 0.9, DIMS).columns == docs.columns and called
+
+
+def test_a_pass_reads_the_cells_once(spark, tmp_path):
+    skewed(spark).write.parquet(f"{tmp_path}/cells")
+    now = cells = spark.read.parquet(f"{tmp_path}/cells").withColumn("u", F.lit(1.0))
+    for d, p in DIMS.items():
+        target = spark.createDataFrame(raking.tempered(cells, d, 0.6, p).toPandas(), f"{d} string, target double")
+        now = raking._bounded_step(now, d, target)
+    assert now._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
