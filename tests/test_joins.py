@@ -17,6 +17,20 @@ def test_similar_pairs_are_those_of_all_pairs(spark, threshold):
     assert {(r["doc_a"], r["doc_b"]): round(r["score"], 12) for r in search.similar_pairs(a, b, threshold).collect()} == want and want
 
 
+def test_copies_tie_whatever_order_their_terms_come_in(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [(f"d{i:02}", t, rng.uniform(0.001, 1)) for i in range(30) for t in rng.sample(words, 40)]
+    one = [(t, rng.uniform(0.001, 1)) for t in words[:120]]
+    copies = [(f"c{i:02}", t, w) for i in range(40) for t, w in rng.sample(one, len(one))]
+    rng.shuffle(rows := texts + copies)
+    b = spark.createDataFrame(rows, "doc_id string, term string, w double").repartition(7)
+    a = spark.createDataFrame([("q", t, rng.uniform(0.001, 1)) for t in words[:90]], "doc_id string, term string, w double")
+    for found in (search.similar_pairs(a, b, 0.05), search.sparse_cosine(a, b)):
+        assert len({r["score"] for r in found.filter("doc_b LIKE 'c%'").collect()}) == 1
+        assert [r["doc_b"] for r in search.top_matches(found.filter("doc_b LIKE 'c%'"), 5, 0.05).orderBy("rank").collect()] == [f"c{i:02}" for i in range(5)]
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
