@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from graphloom.operators import diff, search
+from graphloom.operators import analyze, diff, search
 from graphloom.operators.graph import PropertyGraph
 
 
@@ -73,3 +73,27 @@ def test_renames_are_those_of_all_pairs(spark, threshold):
                 want.append((-round(score, 9), i, j))
     got = diff.rename_candidates(graph(na, ea), graph(nb, eb), threshold, 12).collect()
     assert [(-round(r["confidence"], 9), r["id_a"], r["id_b"]) for r in got] == sorted(want)[:12] and len(want) > 3
+
+
+def _graph(spark, nodes, edges):
+    return PropertyGraph(spark.createDataFrame([(n, n, t) for n, t in nodes], "id string, label string, file_type string"), spark.createDataFrame([(x, y, min(x, y), max(x, y), r) for x, y, r in edges], "source string, target string, lo string, hi string, relation string"))
+
+
+def test_classes_of_changes_are_of_types_that_changed_on_both_sides(spark):
+    a = _graph(spark, [("old", "code"), ("hub", "code")], [("hub", "old", "calls")])
+    b = _graph(spark, [("new", "code"), ("hub", "code"), ("page", "document")], [("hub", "new", "calls"), ("hub", "page", "calls")])
+    assert [r["label"] for r in diff._change_classes(b, a, 20).collect()] == ["new"]
+    assert [r["label"] for r in diff._change_classes(a, b, 20).collect()] == ["old"]
+
+
+def test_core_and_unique_of_three_graphs_move_each_edge_few_times(spark):
+    rng, made = random.Random(4), {}
+    for name in ("x", "y", "z"):
+        nodes = {f"n{rng.randrange(14)}" for _ in range(10)}
+        made[name] = nodes, {(*sorted(rng.choices([f"n{i}" for i in range(14)], k=2)), rng.choice(["calls", "imports"])) for _ in range(25)}
+    core, unique = analyze.core_and_unique({k: _graph(spark, [(n, "code") for n in ns], es) for k, (ns, es) in made.items()})
+    assert sum(x._jdf.queryExecution().executedPlan().toString().count("Exchange") for x in (core, unique)) <= 16
+    assert {r["kind"]: r["n"] for r in core.collect()} == {"nodes": len(set.intersection(*(ns for ns, _ in made.values()))), "edges": len(set.intersection(*(es for _, es in made.values())))}
+    own = {k: ns - set().union(*(m for j, (m, _) in made.items() if j != k)) for k, (ns, _) in made.items()}
+    want = {k: (len(own[k]), sum(x in own[k] or y in own[k] for x, y, _ in es)) for k, (_, es) in made.items() if own[k]}
+    assert {r["graph"]: (r["nodes"], r["edges"]) for r in unique.collect()} == want and want
