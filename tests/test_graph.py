@@ -168,3 +168,14 @@ def test_ranks_go_on_across_ranges(spark):
     assert [r.place for r in got] == list(range(200))
     assert [(r.n, r.least) for r in got] == sorted(((r.n, r.least) for r in got), key=lambda x: (-x[0], x[1]))
     assert ranked(rows.limit(0), "place", "n").count() == 0
+
+
+def test_a_sweep_reads_only_the_edges_of_nodes_that_may_move(spark, monkeypatch):
+    from graphloom.operators import community
+
+    tables, cut = [], community.cut
+    monkeypatch.setattr(community, "cut", lambda df: tables.append(cut(df)) or tables[-1])
+    edges = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(6) for j in range(i)], "source string, target string")
+    assert {r["id"] for r in community.local_moving(edges, 1).collect()} == {f"n{i}" for i in range(6)}
+    whole, *halves = (sorted((r["id"], r["peer"]) for r in t.collect()) for t in tables[:3])
+    assert sorted(halves[0] + halves[1]) == whole and not {x for x, _ in halves[0]} & {x for x, _ in halves[1]}
